@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, url_filter
+from . import chat_format, decontaminate, exact_dedup, sentencepieces, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,18 @@ from d left join n using (doc_id) left join t using (doc_id)
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids of every document, and the digest of the text that decoding gives back from them."""
+    docs = sentencepieces.encode(table(spark, sf_dir, "documents"))
+    text = sentencepieces.decode(F.col("ids"))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), extra={"text_sha256": sha})
@@ -120,6 +132,8 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_simhash": op6_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {
