@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, sentencepieces, simhash, url_filter
+from . import chat_format, decontaminate, exact_dedup, language_id, sentencepieces, simhash, toxicity, url_filter
+from .common import crc_fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +106,14 @@ from d left join n using (doc_id) left join t using (doc_id)
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 4) == 2
+    model = toxicity.train(toxicity.labelled(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out)))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids of every document, and the digest of the text that decoding gives back from them."""
     docs = sentencepieces.encode(table(spark, sf_dir, "documents"))
@@ -117,6 +126,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    langs, p = language_id.train(docs.where(~held_out))
+    return language_id.predict(docs, langs, p).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), extra={"text_sha256": sha})
@@ -132,8 +148,10 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
+    "op8_language_id": op8_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {
