@@ -116,9 +116,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids of every document, and the digest of the text that decoding gives back from them."""
-    docs = sentencepieces.encode(table(spark, sf_dir, "documents"))
-    text = sentencepieces.decode(F.col("ids"))
-    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
+    docs = sentencepieces.encode(table(spark, sf_dir, "documents"), decoded=True)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

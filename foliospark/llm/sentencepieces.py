@@ -39,7 +39,9 @@ SPACE = 0x110000
 DEPTH = 16
 CACHE_BITS = 21
 #: characters of an index, about; a longer unit gets its own
-INDEX_CHARS = 1_000_000
+INDEX_CHARS = 400_000
+#: text of a batch; larger batches have fewer distinct units in proportion, but need some 80 bytes of memory a byte
+SLICE = 5 << 19
 
 
 class Pieces:
@@ -338,17 +340,21 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, slice_bytes: int = 6 << 20) -> DataFrame:
-    """One row per document: id, ids array<int>."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, slice_bytes: int = SLICE, decoded: bool = False) -> DataFrame:
+    """One row per document: id, ids array<int>; with decoded also the text that decoding the ids gives back."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for part in slices(batches, "text", slice_bytes):
             ids, at = own.encode(part.column("text").fill_null("").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], ["id", "ids"])
+            cols = [part.column("id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))]
+            if decoded:
+                cols.append(pa.array(own.decode(ids, at), pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    names = ["id", "ids", "decoded"][: 2 + decoded]
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 
