@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, sentencepieces, simhash, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, language_id, pii, sentencepieces, simhash, toxicity, url_filter
 from .common import crc_fold
 
 
@@ -132,6 +132,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, langs, p).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.identifiers(table(spark, sf_dir, "documents"))
+
+    def said(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), extra={"text_sha256": sha})
@@ -151,6 +162,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
     "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {
