@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _STEP, gram_hashes, mix, slices, utf8, word_hashes, words
+from .common import gram_hashes, map_arrow, mix, slices, _STEP, utf8, word_hashes, words
 from .exact_dedup import without_ids
 
 WINDOW, K = 13, 7
@@ -188,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     ["id", "n_words", "spans", "items"],
                 )
 
-        parts.append(kind.mapInArrow(run, schema))
+        parts.append(map_arrow(kind, run, schema))
     if blocks == 1:
         return parts[0].withColumnRenamed("id", id_col)
     every = parts[0]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _PLACE, mix, slices
+from .common import map_arrow, mix, _PLACE, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: pieces of more characters are left out of the vocabulary
@@ -35,7 +35,7 @@ PIECE_CHARS = 8
 UNKNOWN = 1e-7
 #: weight of the prior in each language's distribution, in pieces
 PRIOR = 50.0
-SLICE = 8 << 20
+SLICE = 2 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _C = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 _BITS = np.uint64(64 - 20)
@@ -239,7 +239,7 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", model
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(col[some])], ["lang", "piece", "n"])
 
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = rows.mapInArrow(count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    counts = map_arrow(rows, count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     v = vocabulary(model)
     langs = sorted(counts["lang"].unique())
     n = np.zeros((len(v.pieces), len(langs)))
@@ -270,5 +270,5 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, id_col: str = "doc
                 best[has] = (1 / odds.sum(axis=1))[has]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(best)], ["id", "lang_pred", "score"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, lang_pred string, score double")
+    out = map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), score, f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

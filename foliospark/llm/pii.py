@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -277,4 +277,4 @@ def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(spans, _SPANS)], ["id", "spans"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return out.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:bigint,`end`:bigint,base:boolean>>").withColumnRenamed("id", id_col)
+    return map_arrow(out, run, f"id {kind}, spans array<struct<kind:string,start:bigint,`end`:bigint,base:boolean>>").withColumnRenamed("id", id_col)

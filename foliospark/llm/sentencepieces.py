@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _PLACE, mix, slices
+from .common import map_arrow, mix, _PLACE, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x110000
@@ -41,7 +41,7 @@ CACHE_BITS = 21
 #: characters of an index, about; a longer unit gets its own
 INDEX_CHARS = 400_000
 #: text of a batch; larger batches have fewer distinct units in proportion, but need some 80 bytes of memory a byte
-SLICE = 5 << 19
+SLICE = 2 << 20
 
 
 class Pieces:
@@ -354,7 +354,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["id", "ids", "decoded"][: 2 + decoded]
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded)
+    out = map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>" + ", decoded string" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 

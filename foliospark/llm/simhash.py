@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, utf8, words
+from .common import map_arrow, materialise, slices, utf8, words
 from .components import components
 from .exact_dedup import without_ids
 
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = fingerprint_array(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp bigint")
 
 
 def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -183,7 +183,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket_links(rows: DataFrame) -> DataFrame:
-    return rows.repartition("t", "key").sortWithinPartitions("t", "key", "rep").select("t", "key", "fp", "rep").mapInArrow(_links, "a bigint, b bigint")
+    return map_arrow(rows.repartition("t", "key").sortWithinPartitions("t", "key", "rep").select("t", "key", "fp", "rep"), _links, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _STEP, gram_hashes, materialise, mix, slices, utf8, word_hashes, words
+from .common import gram_hashes, map_arrow, materialise, mix, slices, _STEP, utf8, word_hashes, words
 
 WINDOW, K = 20, 8
 SIEVE_BITS, ID_BITS = 27, 24
@@ -332,7 +332,7 @@ def _verdicts(segments: DataFrame) -> DataFrame:
     )
     distinct = distinct.select(F.col("anchor").alias("key"), "anchor", "h1", "h2", "p.id", "p.pos", "times", "n", "seg")
     dealt = distinct.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_judge, "anchor bigint, h1 bigint, h2 bigint, id bigint, pos bigint, mask bigint")
+    return map_arrow(dealt, _judge, "anchor bigint, h1 bigint, h2 bigint, id bigint, pos bigint, mask bigint")
 
 
 def _removals(segments: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, pos, mask): window pos + i of document id goes if bit i of mask is set."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    seen = rows.mapInArrow(_anchors, "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    seen = map_arrow(rows, _anchors, "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     bits = spark.sparkContext.broadcast(sieve(seen, "anchor", SIEVE_BITS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,11 +366,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 ["anchor", "h1", "h2", "id", "pos", "n", "seg"],
             )
 
-    segments = materialise(rows.mapInArrow(cut, SEGMENT), "segments")
+    segments = materialise(map_arrow(rows, cut, SEGMENT), "segments")
     distinct = segments.groupBy("anchor", "h1", "h2").agg(F.lit(1).alias("one"))
     hot = materialise(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(f"k > {CAP}").select("anchor"), "hot-anchors")
     usual = segments.join(hot, "anchor", "left_anti")
-    single = segments.join(hot, "anchor", "left_semi").mapInArrow(_windows, SEGMENT)
+    single = map_arrow(segments.join(hot, "anchor", "left_semi"), _windows, SEGMENT)
     parts = [_removals(x, materialise(_verdicts(x), "verdicts")) for x in (usual, single)]
     return materialise(parts[0].unionByName(parts[1]), "removals")
 
@@ -429,5 +429,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = "id bigint, n_words bigint, n_removed bigint, kept string"
     lists = found.groupBy("id").agg(F.collect_list(F.struct("pos", "mask")).alias("places"))  # at most one entry a word
-    touched = rows.mapInArrow(other, "id bigint, text string").join(lists, "id", "left").select("id", "text", "places").mapInArrow(apply, schema)
-    return rows.mapInArrow(clean, schema).unionByName(touched).withColumnRenamed("id", id_col)
+    touched = map_arrow(rows, other, "id bigint, text string").join(lists, "id", "left").select("id", "text", "places")
+    touched = map_arrow(touched, apply, schema)
+    return map_arrow(rows, clean, schema).unionByName(touched).withColumnRenamed("id", id_col)
