@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import config, corpus
 from .functions import patterns as P
-from .functions import readability, signals
+from .functions import families, readability, signals
 from .functions import text as T
 from .operators import blocks as B
 from .operators import changes, chapters, integrity, mask, ranking, rewrite, suggest
@@ -499,9 +499,14 @@ def q_evidence_counts(spark, sf_dir):
     return df.select("block_key", added(P.UNSUPPORTED).alias("unsupported"), added(P.METAPHOR).alias("metaphor"), added(P.COMMENTARY).alias("commentary"), signals.holding(F.col("b"), *P.REGISTER).alias("academic"))
 
 
+def _sentence_pairs(spark, sf_dir) -> DataFrame:
+    """Blocks with their sentences, split once: a of the text, b of the revision."""
+    return corpus.blocks(spark, sf_dir).withColumns({"a": T.sentences(F.col("text")), "b": T.sentences(F.col("revised"))})
+
+
 @query()
 def q_evidence(spark, sf_dir):
-    df = corpus.blocks(spark, sf_dir).select("block_key", signals.evidence(T.sentences(F.col("text")), T.sentences(F.col("revised")), F.col("sensitive")).alias("e"))
+    df = _sentence_pairs(spark, sf_dir).select("block_key", signals.evidence(F.col("a"), F.col("b"), F.col("sensitive")).alias("e"))
     return df.select("block_key", "e.*")
 
 
@@ -524,7 +529,7 @@ def q_naturalization_counts(spark, sf_dir):
 
 @query()
 def q_naturalization(spark, sf_dir):
-    return corpus.blocks(spark, sf_dir).select("block_key", signals.directness(T.sentences(F.col("text"))).alias("d")).select("block_key", "d.*")
+    return _sentence_pairs(spark, sf_dir).select("block_key", signals.directness(F.col("a")).alias("d")).select("block_key", "d.*")
 
 
 @query(f"with {CORPUS} select block_key, {n_of('text', P.L2_FUNCTION)} as function_words, {n_of('text', P.L2_TEXTURE)} as texture, {n_of('text', P.L2_NATIVE)} as native, {n_of('text', P.L2_COLLOQUIAL)} as colloquial, {n_of('text', P.L2_UNGRAMMATICAL)} as ungrammatical from blocks")
@@ -538,7 +543,7 @@ def q_l2_counts(spark, sf_dir):
 
 @query()
 def q_l2(spark, sf_dir):
-    return corpus.blocks(spark, sf_dir).select("block_key", signals.texture(T.sentences(F.col("text"))).alias("t")).select("block_key", "t.*")
+    return _sentence_pairs(spark, sf_dir).select("block_key", signals.texture(F.col("a")).alias("t")).select("block_key", "t.*")
 
 
 @query(f"""with {CORPUS}, {FILL_SQL}, {TYPE_SQL}, s as (select doc_id, chapter_type, text, {sent('text')} as s from pr)
@@ -550,6 +555,110 @@ def q_style_by_class(spark, sf_dir):
     )
 
 
+def _exploded(spark, sf_dir, column: str = "text") -> DataFrame:
+    """(block_key, sensitive, i, n, x) of the corpus' sentences."""
+    df = corpus.blocks(spark, sf_dir).select("block_key", T.sentences(F.col(column)).alias("s"))
+    return df.select("block_key", F.size("s").alias("n"), F.posexplode("s").alias("i", "x"))
+
+
+SENTS_SQL = "s as (select block_key, unnest(ss) as x, unnest(range(len(ss))) as i, len(ss) as n from (select block_key, {} as ss from blocks))"
+
+
+def _m(x: str, p: str) -> str:
+    return f"regexp_matches({x}, '{p}')"
+
+
+@query(f"""with {CORPUS}, {SENTS_SQL.format(sent('text'))}
+select block_key, i as sent_idx, case when {_m('x', families.ENUM_ITEM)} or {_m('x', families.ENUM_HEAD)} then 'enumeration' when {_m('x', families.CONCLUSION_HEAD)} then 'conclusion' when i = n - 1 and {_m('x', families.CLOSING)} then 'conclusion'
+  when i = 0 and {_m('x', families.CORE_OPENING)} then 'core' when {_m('x', families.MECHANISM)} and {_m('x', families.MECHANISM_VERB)} then 'mechanism' else 'support' end as role from s""")
+def q_semantic_roles(spark, sf_dir):
+    df = _exploded(spark, sf_dir)
+    return df.select("block_key", F.col("i").cast("long").alias("sent_idx"), families.semantic_role(F.col("x"), F.col("i"), F.col("n")).alias("role"))
+
+
+@query()
+def q_semantic_integrity(spark, sf_dir):
+    df = _sentence_pairs(spark, sf_dir).select("block_key", families.semantics(F.col("a"), F.col("b"), F.col("sensitive")).alias("e"))
+    return df.select("block_key", "e.*")
+
+
+@query(f"""with {CORPUS}, {SENTS_SQL.format(sent('revised'))},
+r as (select *, case when i = 0 and {_m('x', families.CORE_OPENING)} then 'core' when i = n - 1 and ({_m('x', families.CONCLUSION_MARK)} or {_m('x', families.STANCE)}) then 'conclusion'
+  when {_m('x', families.MECHANISM + '|噪声分支')} and {_m('x', families.AUTHOR_MECHANISM_VERB)} then 'mechanism' else 'support' end as role, {_m('x', families.CONCRETE)} as concrete, {_m('x', families.STRONG_VERB)} as strong, {_m('x', families.STANCE)} as stance from s)
+select block_key, i as sent_idx, role, not (role = 'mechanism' and concrete and strong) and ({_m('x', families.APPENDIX_LEAD)} or {_m('x', families.USED_FOR)} or {_m('x', families.BY_MEANS)} or {_m('x', families.WEAK_MAIN)}) as appendix,
+  case when len(regexp_extract_all(x, '{TECH_RE2}')) >= 3 then 74 when not (role = 'mechanism' and concrete and strong) and ({_m('x', families.APPENDIX_LEAD)} or {_m('x', families.USED_FOR)} or {_m('x', families.BY_MEANS)} or {_m('x', families.WEAK_MAIN)}) then 28
+  else least(100, 62 + (case when concrete then 16 else 0 end) + (case when strong then 14 else 0 end) + (case when stance then 18 else 0 end) + (case when role = 'mechanism' and concrete and strong then 10 else 0 end)
+   + (case when role in ('core', 'conclusion') and stance then 8 else 0 end) - (case when {_m('x', families.WEAK_MAIN)} then 18 when {_m('x', families.WEAK_MODAL)} then 8 else 0 end)) end as assertion from r""")
+def q_authorial_sentences(spark, sf_dir):
+    df = _exploded(spark, sf_dir, "revised")
+    x, i, n = F.col("x"), F.col("i"), F.col("n")
+    role = families.author_role(x, i, n)
+    return df.select(
+        "block_key", i.cast("long").alias("sent_idx"), role.alias("role"), families.appendix_like(x, role).alias("appendix"), F.round(families.assertion(x, i, n) * 100).cast("int").alias("assertion")
+    )
+
+
+@query()
+def q_authorial(spark, sf_dir):
+    df = _sentence_pairs(spark, sf_dir).select("block_key", families.authorship(F.col("a"), F.col("b"), F.col("sensitive")).alias("e"))
+    return df.select("block_key", "e.*")
+
+
+CLICHE_SQL = " + ".join(f"cast({_m('x', p)} as int)" for p in families.CLICHES)
+
+
+@query(f"""with {CORPUS}, {SENTS_SQL.format(sent('text'))}
+select block_key, i as sent_idx, {CLICHE_SQL} as cliches, case when i = 0 then 'topic' when i = n - 1 then 'conclusion' when {_m('x', families.SUPPLEMENT_LEAD)} or length(regexp_replace(x, '\\s', '', 'g')) < 22 then 'supplement'
+  when {CLICHE_SQL} > 0 then 'cliche' when {_m('x', families.JUDGMENT)} then 'judgment' when {_m('x', families.EXPLAINING)} or {_m('x', '[，；：]')} then 'explanatory' else 'plain' end as texture from s""")
+def q_support_textures(spark, sf_dir):
+    x = F.col("x")
+    return _exploded(spark, sf_dir).select("block_key", F.col("i").cast("long").alias("sent_idx"), families.cliches(x).alias("cliches"), families.support_texture(x, F.col("i"), F.col("n")).alias("texture"))
+
+
+@query()
+def q_realism(spark, sf_dir):
+    return _sentence_pairs(spark, sf_dir).select("block_key", families.realism(F.col("a")).alias("e")).select("block_key", "e.*")
+
+
+SKELETON_TOPIC = "(" + " or ".join([f"({_m('t', families.TOPIC_OPENING)} and {_m('t', families.TOPIC_FUNCTION)})", *[_m("t", p) for p in families.TOPIC_FORMS]]) + ")"
+
+
+@query(f"""with {CORPUS}, {SENTS_SQL.format(sent('text'))}, b as (select *, regexp_replace(x, '[。！？?!；;]+$', '') as t from s), d as (select *, not {_m('t', families.NOT_DANGLING)} and {_m('t', families.DANGLING_OPENING)} as dang from b)
+select block_key, i as sent_idx, case when t = '' then 'support_sentence' when {_m('t', families.TOPIC_FORMS[4])} or (not dang and {SKELETON_TOPIC}) then 'topic_sentence' when {_m('t', families.SKELETON_CONCLUSION)} then 'conclusion_sentence'
+  when {_m('t', families.DANGLING_OPENING)} or {_m('t', families.SKELETON_SUPPLEMENT)} then 'transition_sentence' when {_m('t', families.EVIDENCE)} or {n_of('t', P.NUMBER)} >= 2 then 'evidence_sentence'
+  when i = 0 and length(t) >= 18 and {_m('t', families.TOPIC_FUNCTION)} then 'topic_sentence' else 'support_sentence' end as role from d""")
+def q_skeleton_roles(spark, sf_dir):
+    return _exploded(spark, sf_dir).select("block_key", F.col("i").cast("long").alias("sent_idx"), families.skeleton_role(F.col("x"), F.col("i")).alias("role"))
+
+
+@query()
+def q_skeleton(spark, sf_dir):
+    df = _sentence_pairs(spark, sf_dir).select("block_key", families.skeleton(F.col("a")).alias("a"), families.skeleton(F.col("b")).alias("b"))
+    kept = ~F.col("a.opening_locked") | F.col("b.opening_locked")
+    return df.select("block_key", F.array_join("a.roles", ",").alias("roles"), "a.opening_locked", "a.dangling", kept.alias("topic_kept"))
+
+
+@query(f"""with {CORPUS}, q as (select block_key, {sent('text')} as s, regexp_replace(text, '\\s', '', 'g') as t from blocks), j as (select *, coalesce(list_aggregate(s, 'string_agg', ''), '') as x from q)
+select block_key, len(s) as sentences, length(regexp_replace(x, '\\s', '', 'g')) as chars, {n_of('x', '[，,；;：:]')} as clauses, {n_of('x', families.STYLE_FUNCTION)} as function_words, {n_of('x', families.STYLE_HELPER)} as helpers,
+  {_holding_sql(families.STYLE_EXPLAIN)} as explanatory, {n_of('x', families.STYLE_COMPACT)} as compact, {n_of('x', families.STYLE_TEXTURE)} as texture from j""")
+def q_style_counts(spark, sf_dir):
+    x = F.col("x")
+    df = corpus.blocks(spark, sf_dir).select("block_key", T.sentences(F.col("text")).alias("s")).withColumn("x", F.array_join("s", ""))
+    return df.select(
+        "block_key", F.size("s").alias("sentences"), F.length(T.squeeze(x)).alias("chars"), T.count(x, "[，,；;：:]").alias("clauses"), T.count(x, families.STYLE_FUNCTION).alias("function_words"),
+        T.count(x, families.STYLE_HELPER).alias("helpers"), signals.holding(F.col("s"), families.STYLE_EXPLAIN).alias("explanatory"), T.count(x, families.STYLE_COMPACT).alias("compact"), T.count(x, families.STYLE_TEXTURE).alias("texture"),
+    )
+
+
+@query()
+def q_style_match(spark, sf_dir):
+    """How well revised blocks match their source's distribution of style, by class of paragraph."""
+    df = chapters.fill(_sentence_pairs(spark, sf_dir))
+    df = df.select("doc_id", families.style_class(F.col("text"), F.col("chapter_title")).alias("class"), families.distribution(F.col("a")).alias("a"), families.distribution(F.col("b")).alias("b"))
+    g = df.groupBy("doc_id", "class").agg(F.avg(families.style_match(F.col("a"), F.col("b"))).alias("match"), F.count(F.lit(1)).alias("paragraphs"))
+    return ranking.worst_classes(g.withColumn("match", F.round("match", 4)))
+
+
 # ---- review, gate, candidates
 REVIEW_SQL = f"""
 c as (select block_key, doc_id, block_id, {_set_kept(NUMS.format(t='text'), NUMS.format(t='revised'))} as num, {_set_kept(_terms_sql('text'), _terms_sql('revised'))} as ter, regexp_extract_all(text, '{P.CITATION}') = regexp_extract_all(revised, '{P.CITATION}') as cit,

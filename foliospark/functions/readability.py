@@ -28,67 +28,69 @@ def complete_clause(s: Column) -> Column:
     return let(F.regexp_replace(strip(s), u(P.ORDINAL), ""), lambda t: (t != "") & t.rlike(P.PREDICATE) & subject_like(t))
 
 
-def _fragment(s: Column) -> Column:
+def facts(s: Column) -> Column:
+    """What the rules ask of a trimmed sentence, each thing once."""
+    base = F.struct(
+        s.alias("s"), has(s, P.LIST_LEAD).alias("lead"), has(s, P.TAXONOMY).alias("taxonomy"), technical(s).alias("technical"), subject_like(s).alias("subject"),
+        s.rlike(P.PREDICATE).alias("predicate"), F.length(squeeze(s)).alias("size"), has(s, P.COMPARISON).alias("comparison"), has(s, P.PREPOSITION).alias("preposition"),
+        has(s, P.COLON_TAIL).alias("colon"), has(s, P.RESULT_LEAD).alias("result"), s.rlike(P.VERB_OPEN).alias("verb"), s.rlike(P.CAUSATIVE).alias("causative"),
+        has(s, P.DANGLING).alias("marker"),
+    )
+
+    def more(f: Column) -> Column:
+        fragment = f["comparison"] | f["preposition"] | f["colon"] | f["result"] | f["verb"] | (f["causative"] & ~f["subject"])
+        exempt = starts_with_any(f["s"], P.DANGLING_EXEMPT) & complete_clause(strip(F.regexp_replace(f["s"], u(P.DANGLING), "")))
+        hangs = F.when((f["s"] == "") | f["lead"] | f["taxonomy"], False).when(f["marker"], ~exempt).when(f["technical"], False).otherwise(fragment)
+        return F.struct(f.alias("f"), hangs.alias("dangling"))
+
+    return let(base, more)
+
+
+def _score(v: Column, role: Column) -> Column:
+    f = v["f"]
+    s = f["s"]
+    implied = has(s, P.IMPLICATION) & let(strip(F.regexp_replace(s, u(P.IMPLICATION), "")), lambda t: (t != "") & complete_clause(t))
     return (
-        has(s, P.COMPARISON) | has(s, P.PREPOSITION) | has(s, P.COLON_TAIL) | has(s, P.RESULT_LEAD) | s.rlike(P.VERB_OPEN)
-        | (s.rlike(P.CAUSATIVE) & ~subject_like(s))
+        F.when(s == "", 0.0).when(implied, 0.82).when(f["lead"], 0.88).when(f["taxonomy"] | f["technical"], 0.84).when(v["dangling"], 0.36).when(f["comparison"], 0.34)
+        .when(f["preposition"], 0.42).when(f["colon"], 0.46).when(f["result"], 0.44).when(f["verb"], 0.50).when(f["causative"] & ~f["subject"], 0.42).when(has(s, P.ESPECIALLY), 0.58)
+        .when(~f["predicate"] & (f["size"] < 18), 0.48).when(~f["predicate"], 0.58)
+        .when(~f["subject"] & role.isin("support_sentence", "conclusion_sentence") & (f["size"] < 22), 0.62)
+        .when(starts_with_any(s, ("而", "并", "从而", "进而")) & ~f["subject"], 0.52).when(f["subject"], 0.90).otherwise(0.78)
     )
 
 
+def _support(v: Column, role: Column) -> Column:
+    f = v["f"]
+    return F.when((role == "topic_sentence") | (f["s"] == "") | f["technical"] | f["lead"] | f["taxonomy"], False).otherwise(
+        v["dangling"] | (_score(v, role) < 0.66) | (~f["subject"] & (f["size"] < 24)) | starts_with_any(f["s"], ("而是", "并进一步", "从而", "进而"))
+    )
+
+
+def _conclusion(v: Column, closing: Column) -> Column:
+    f = v["f"]
+    s, lead = f["s"], r"^(?:因此|由此|从而|进而)[，,\s]*"
+    implied = has(s, lead + r"\S")
+    weak = (implied & ~complete_clause(F.regexp_replace(s, u(lead), ""))) | (~implied & starts_with_any(s, ("是比", "而是"))) | (_score(v, F.lit("conclusion_sentence")) < 0.58)
+    return F.when((s == "") | f["technical"] | f["lead"], False).when(f["comparison"], True).otherwise(closing & weak)
+
+
 def dangling(s: Column) -> Column:
     """Depends on a clause that is missing. s is trimmed."""
-    lead = has(s, P.LIST_LEAD) | has(s, P.TAXONOMY)
-    tail = strip(F.regexp_replace(s, u(P.DANGLING), ""))
-    exempt = starts_with_any(s, P.DANGLING_EXEMPT) & complete_clause(tail)
-    return F.when((s == "") | lead, False).when(has(s, P.DANGLING), ~exempt).when(technical(s), False).otherwise(_fragment(s))
+    return facts(s)["dangling"]
 
 
 def completeness(s: Column, role: Column) -> Column:
     """0 to 1: whether the sentence can stand alone. The first rule that fits decides."""
-    after = strip(F.regexp_replace(s, u(P.IMPLICATION), ""))
-    size = F.length(squeeze(s))
-    predicate, subject = s.rlike(P.PREDICATE), subject_like(s)
-    return (
-        F.when(s == "", 0.0)
-        .when(has(s, P.IMPLICATION) & (after != "") & complete_clause(after), 0.82)
-        .when(has(s, P.LIST_LEAD), 0.88)
-        .when(has(s, P.TAXONOMY), 0.84)
-        .when(technical(s), 0.84)
-        .when(dangling(s), 0.36)
-        .when(has(s, P.COMPARISON), 0.34)
-        .when(has(s, P.PREPOSITION), 0.42)
-        .when(has(s, P.COLON_TAIL), 0.46)
-        .when(has(s, P.RESULT_LEAD), 0.44)
-        .when(s.rlike(P.VERB_OPEN), 0.50)
-        .when(s.rlike(P.CAUSATIVE) & ~subject, 0.42)
-        .when(has(s, P.ESPECIALLY), 0.58)
-        .when(~predicate & (size < 18), 0.48)
-        .when(~predicate, 0.58)
-        .when(~subject & role.isin("support_sentence", "conclusion_sentence") & (size < 22), 0.62)
-        .when(starts_with_any(s, ("而", "并", "从而", "进而")) & ~subject, 0.52)
-        .when(subject, 0.90)
-        .otherwise(0.78)
-    )
+    return let(facts(s), lambda v: _score(v, role))
 
 
 def incomplete_support(s: Column, role: Column) -> Column:
-    lead = has(s, P.LIST_LEAD) | has(s, P.TAXONOMY)
-    return (
-        F.when((role == "topic_sentence") | (s == "") | technical(s) | lead, False)
-        .otherwise(
-            dangling(s) | (completeness(s, role) < 0.66) | (~subject_like(s) & (F.length(squeeze(s)) < 24))
-            | starts_with_any(s, ("而是", "并进一步", "从而", "进而"))
-        )
-    )
+    return let(facts(s), lambda v: _support(v, role))
 
 
 def fragment_conclusion(s: Column, closing: Column) -> Column:
     """closing: the sentence is the last or has that role."""
-    lead = r"^(?:因此|由此|从而|进而)[，,\s]*"
-    implied = has(s, lead + r"\S")
-    tail = F.regexp_replace(s, u(lead), "")
-    weak = (implied & ~complete_clause(tail)) | (~implied & starts_with_any(s, ("是比", "而是"))) | (completeness(s, F.lit("conclusion_sentence")) < 0.58)
-    return F.when((s == "") | technical(s) | has(s, P.LIST_LEAD), False).when(has(s, P.COMPARISON), True).otherwise(closing & weak)
+    return let(facts(s), lambda v: _conclusion(v, closing))
 
 
 def role_at(i: Column, n: Column) -> Column:
@@ -101,10 +103,10 @@ def per_sentence(sentences: Column) -> Column:
 
     def one(s: Column, i: Column) -> Column:
         role = role_at(i, n)
-        return F.struct(
-            s.alias("sentence"), role.alias("role"), completeness(s, role).alias("score"), dangling(s).alias("dangling"),
-            incomplete_support(s, role).alias("support"), fragment_conclusion(s, i == n - 1).alias("conclusion"),
-        )
+        return let(facts(s), lambda v: F.struct(
+            v["f"]["s"].alias("sentence"), role.alias("role"), _score(v, role).alias("score"), v["dangling"].alias("dangling"),
+            _support(v, role).alias("support"), _conclusion(v, i == n - 1).alias("conclusion"),
+        ))
 
     return F.transform(sentences, one)
 

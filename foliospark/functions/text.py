@@ -153,7 +153,7 @@ def excerpt(text: Column, limit: int = 70) -> Column:
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with value evaluated once: expressions that use it several times stay small."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+    return F.element_at(F.transform(F.array(value), lambda v: f(v)), 1)
 
 
 def ensure_end(text: Column) -> Column:

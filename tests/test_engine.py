@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark import api, config
-from foliospark.functions import readability, signals
+from foliospark.functions import families, readability, signals
 from foliospark.functions import text as T
 from foliospark.operators import blocks, changes, chapters, integrity, mask, ranking, rewrite, suggest
 from foliospark.plans import guide, review
@@ -186,3 +186,27 @@ def test_streams(spark, tmp_path):
     q = ingest.template_usage(stream).writeStream.format("memory").queryName("usage").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("usage").collect()} == {("d", 1, "因此", 0), ("d", 2, "因此", 1), ("d", 2, "同时", 0), ("e", 1, "此外", 0)}
+
+
+def test_families(spark):
+    def arr(*s):
+        return F.array(*map(F.lit, s)) if s else F.array().cast("array<string>")
+
+    row = one(
+        spark, "x",
+        lambda t: families.semantic_roles(arr("本研究提出方案。", "第一，采集数据。", "模型通过融合模块输出特征。", "结果表明有效。")).alias("roles"),
+        lambda t: families.semantics(arr("本研究提出方案。", "模型通过融合输出特征。"), arr("本研究提出方案。", "模型通过融合输出特征。")).alias("same"),
+        lambda t: families.semantics(arr("模型通过融合输出特征。"), arr("这一设计还包括其他内容。")).alias("lost"),
+        lambda t: families.authorship(arr("重点并非速度而是精度。"), arr("重点是精度。")).alias("a"),
+        lambda t: families.cadence(arr("甲乙丙丁", "甲乙丙丁", "甲乙丙丁")).alias("flat"),
+        lambda t: families.cadence(arr("甲")).alias("single"),
+        lambda t: families.realism(arr()).alias("none"),
+        lambda t: families.skeleton(arr("本文围绕检测问题展开。", "综上所述，有效。", "同时如此。")).alias("k"),
+        lambda t: families.style_match(families.distribution(arr("甲，乙。")), families.distribution(arr("甲，乙。"))).alias("m"),
+    )
+    assert row.roles == ["core", "enumeration", "mechanism", "conclusion"]
+    assert row.same.integrity == 1.0 and row.lost.integrity < 0.5 and row.lost.abstract_subject == 1.0
+    assert row.a.stance_drop and row.a.stance == 0.0
+    assert row.flat == 0.0 and row.single == 0.35 and row.none.realism == 0.0
+    assert row.k.roles == ["topic_sentence", "conclusion_sentence", "transition_sentence"] and row.k.opening_locked
+    assert row.m == 1.0
