@@ -13,6 +13,7 @@ from .functions import families, readability, signals
 from .functions import text as T
 from .operators import blocks as B
 from .operators import changes, chapters, integrity, mask, ranking, rewrite, suggest
+from .plans import execution
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -737,6 +738,50 @@ def q_suggestions(spark, sf_dir):
     return corpus.blocks(spark, sf_dir).select("block_key", F.array_join(suggest.suggestions(F.col("text")), "|").alias("suggestions"))
 
 
+# ---- execution plans
+def _ordered(rows) -> str:
+    """Joined in order, each name once (its first place)."""
+    seen, out = {}, []
+    for c, v in rows:
+        seen.setdefault(v, []).append(c)
+    for v, cs in seen.items():
+        out.append(f"case when {' or '.join(f'({c})' for c in cs)} then '{v}' end")
+    return "concat_ws(',', " + ", ".join(out) + ")"
+
+
+PLAN_SQL = f"""
+e0 as (select *, {sent('text')} as s from pol),
+e as (select *, len(s) as n, edit_policy = 'rewritable' as op, rewrite_depth = 'developmental_rewrite' as dev, rewrite_depth = 'light_edit' as li,
+  len(list_filter(range(1, len(s)), lambda i: {HEAD.format(y='s[i]')} <> '' and {HEAD.format(y='s[i]')} = {HEAD.format(y='s[i + 1]')})) > 0 as rep,
+  len(list_filter(s, lambda x: regexp_matches(x, '{execution.IMPLICATION_HEAD}'))) > 0 as imp, regexp_matches(text, '{execution.ENUMERATION}') as enu, template_density >= 2 as tpl, meta_density >= 2 as meta, function_density >= 2 as fun,
+  coalesce(len(s) >= 3 and list_max(list_transform(s, lambda x: length(regexp_replace(x, '\\s', '', 'g')))) - list_min(list_transform(s, lambda x: length(regexp_replace(x, '\\s', '', 'g')))) <= 10, false) as flat,
+  regexp_matches(text, '{P.PARALLELISM}') or (len(s) >= 3 and len(list_distinct(list_transform(s[1:3], lambda x: x[1:5]))) = 1) as par from e0)"""
+STRUCTURAL = [("op and n >= 2", "pair_fusion"), ("op and n >= 2", "sentence_cluster_merge"), ("op and n < 2 and len(regexp_extract_all(text, '，')) >= 2", "clause_reorder"), ("rep", "subject_chain_compression"), ("imp", "conclusion_absorb"), ("enu", "enumeration_reframe")]
+SHARED = [("rep", "subject_chain_compression"), ("rep", "compress_subject_chain"), ("meta", "meta_compression"), ("imp", "conclusion_absorb"), ("enu", "enumeration_reframe"), ("tpl", "transition_absorption"), ("tpl", "weaken_template_connectors"),
+          ("fun", "reduce_function_word_overuse"), ("dense_nominal", "rewrite_dense_nominal_phrases"), ("flat", "rebuild_sentence_rhythm"), ("par", "break_parallelism")]
+NO_SHARED = " and ".join(f"not {c}" for c in ("rep", "meta", "imp", "enu", "tpl", "fun", "dense_nominal", "flat", "par"))
+DISCOURSE = SHARED + [(f"li and {NO_SHARED}", "sentence_level_recast"), ("li", "uneven_rewrite_distribution"), ("dev and n >= 2", "sentence_cluster_rewrite"), ("dev and n >= 2", "sentence_cluster_merge"), ("dev and n >= 3", "proposition_reorder"),
+                      ("dev and n >= 3", "discourse_reordering"), ("dev and n >= 3", "narrative_path_rewrite"), (f"dev and regexp_matches(text, '{execution.CAUSE}')", "rationale_expansion")]
+
+
+@query(f"""with {CORPUS}, {POLICY_SQL}, {PLAN_SQL}
+select block_key, rep as repeated_subject, case when edit_policy in ('light_edit', 'rewritable') then {_ordered(STRUCTURAL)} else '' end as structural, case when li or dev then {_ordered(DISCOURSE)} else '' end as discourse,
+  case when not dev then 'light' when n >= 3 and (regexp_matches(text, '{execution.TOPIC_WORDS}') or rep or meta or tpl or fun or par or dense_nominal or flat) then 'high' else 'medium' end as intensity from e""")
+def q_required_actions(spark, sf_dir):
+    df = execution.requirements(B.policy(corpus.blocks(spark, sf_dir)))
+    return df.select("block_key", "repeated_subject", F.array_join("structural", ",").alias("structural"), F.array_join("discourse", ",").alias("discourse"), "intensity")
+
+
+@query()
+def q_execution_plan(spark, sf_dir):
+    """Instructions of every block, and the problems of what was done to it."""
+    df = execution.requirements(B.policy(corpus.blocks(spark, sf_dir)))
+    done = F.when(F.col("sentence_changes") > 1, F.array(F.lit("pair_fusion"), F.lit("conclusion_absorb"))).otherwise(F.array().cast("array<string>"))
+    tried = corpus.blocks(spark, sf_dir).select("doc_id", "block_id", "changed", done.alias("done"), "sentence_changes", "cluster_changes")
+    found = execution.validate(df, tried).select("doc_id", "block_id", F.array_join("problems", ",").alias("problems"))
+    return execution.instructions(df).join(found, ["doc_id", "block_id"], "left")
+
+
 # ---- rewriting
 def _ensure_sql(x: str) -> str:
     return f"case when {x} = '' or ends_with({x}, ']]') or regexp_matches({x}, '[。！？?!.:：;；]$') then {x} when regexp_matches({x}, '[\\x{{4e00}}-\\x{{9fff}}]') then {x} || '。' else {x} || '.' end"
