@@ -30,10 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+#: tables that this driver has written to the shared folder
+_written: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that materialise() wrote. Call it once the results that read them have been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Results are lazy and read these tables, so they stay until drop_tables().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

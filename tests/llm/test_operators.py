@@ -380,6 +380,16 @@ def test_empty_tables(spark):
     assert chat_format.format_conversations(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_tables_are_dropped(spark):
+    from foliospark.llm import common
+
+    kept = common.materialise(frame(spark, [(1, "a")]), "t")
+    path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].lstrip("/")
+    assert os.path.isdir(f"/{path}")
+    common.drop_tables(spark)
+    assert not os.path.isdir(f"/{path}") and not common._written
+
+
 # ---- against SQL
 @needs_data
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
