@@ -10,10 +10,11 @@ earlier in the same one.  Windows are judged on the input.
    size (2**SIEVE_BITS bits), the only thing broadcast.
 2. A second scan writes the runs of windows of the sieved anchors as segments
    (anchor, words from the first to the last window).  Wrong sieve hits cost
-   volume only.  Equal segments are combined before their shuffle, keeping the
-   earliest; so groups of copies become one row.  Anchors with more than CAP
-   different segments (a passage in changing surroundings) are cut into single
-   windows, which are combined again and dealt by the window.
+   volume only.  Segments are dealt by anchor; those of anchors with more than
+   CAP places are combined by content before that, keeping the earliest, so
+   groups of copies become one row.  Anchors with more than CAP different
+   segments (a passage in changing surroundings) are cut into single windows,
+   which are combined again and dealt by the window.
 3. The segments of a partition, sorted by anchor, go into FM-indexes of bounded
    size, all of an anchor's in one: the Burrows-Wheeler transform in a wavelet
    matrix of packed bits with sampled ranks.  Segments are streamed through it
@@ -117,7 +118,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         h, _, _, _ = Text(part.column("text")).runs()
         h, n = np.unique(h, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["anchor", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
 
 def sieve(keys: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -324,23 +325,29 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verdicts(segments: DataFrame) -> DataFrame:
-    """All places of segments -> verdicts of the distinct ones."""
+def _verdicts(segments: DataFrame, bounded: bool) -> DataFrame:
+    """All places of segments -> verdicts of the distinct ones.
+
+    bounded: no anchor has more than CAP places, so the places themselves may be dealt by anchor, in one shuffle;
+    else they are combined by segment first.
+    """
     place = F.struct("id", "pos")
+    if bounded:
+        segments = segments.repartition("anchor")
     distinct = segments.groupBy("anchor", "h1", "h2").agg(
         F.min(place).alias("p"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("seg").alias("seg")
     )
     distinct = distinct.select(F.col("anchor").alias("key"), "anchor", "h1", "h2", "p.id", "p.pos", "times", "n", "seg")
-    dealt = distinct.repartition("key").sortWithinPartitions("key")
+    dealt = (distinct if bounded else distinct.repartition("key")).sortWithinPartitions("key")
     return map_arrow(dealt, _judge, "anchor bigint, h1 bigint, h2 bigint, id bigint, pos bigint, mask bigint")
 
 
 def _removals(segments: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(id, pos, mask) of the places that lose windows: all of them but at the earliest place, there those of the mask."""
-    v = verdicts.select("anchor", "h1", "h2", F.col("id").alias("_id"), F.col("pos").alias("_pos"), "mask")
+    v = verdicts.select("h1", "h2", F.col("id").alias("_id"), F.col("pos").alias("_pos"), "mask")
     at_first = (F.col("id") == F.col("_id")) & (F.col("pos") == F.col("_pos"))
     every = F.expr("shiftleft(1L, n) - 1")
-    out = segments.drop("seg").join(v, ["anchor", "h1", "h2"])
+    out = segments.select("h1", "h2", "id", "pos", "n").join(v, ["h1", "h2"])
     return out.select("id", "pos", F.when(at_first, F.col("mask")).otherwise(every).alias("mask")).where("mask <> 0")
 
 
@@ -349,6 +356,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     seen = map_arrow(rows, _anchors, "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    seen = materialise(seen, "anchors")
     bits = spark.sparkContext.broadcast(sieve(seen, "anchor", SIEVE_BITS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,12 +375,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     segments = materialise(map_arrow(rows, cut, SEGMENT), "segments")
-    distinct = segments.groupBy("anchor", "h1", "h2").agg(F.lit(1).alias("one"))
+    # anchors with many places; of those, anchors with many different segments
+    busy = materialise(seen.where(F.col("n") > CAP).select("anchor"), "busy-anchors")
+    often = segments.join(busy, "anchor", "left_semi")
+    distinct = often.select("anchor", "h1", "h2").groupBy("anchor", "h1", "h2").agg(F.lit(1).alias("one"))
     hot = materialise(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(f"k > {CAP}").select("anchor"), "hot-anchors")
-    usual = segments.join(hot, "anchor", "left_anti")
-    single = map_arrow(segments.join(hot, "anchor", "left_semi"), _windows, SEGMENT)
-    parts = [_removals(x, materialise(_verdicts(x), "verdicts")) for x in (usual, single)]
-    return materialise(parts[0].unionByName(parts[1]), "removals")
+    usual = segments.join(busy, "anchor", "left_anti")
+    single = map_arrow(often.join(hot, "anchor", "left_semi"), _windows, SEGMENT)
+    kinds = ((usual, True), (often.join(hot, "anchor", "left_anti"), False), (single, False))
+    first, *rest = [_removals(x, materialise(_verdicts(x, bounded), "verdicts")) for x, bounded in kinds]
+    for x in rest:
+        first = first.unionByName(x)
+    return materialise(first, "removals")
 
 
 _RESULT = ["id", "n_words", "n_removed", "kept"]
