@@ -90,6 +90,8 @@ _AT = r"(?:at|arroba)"
 _DOT = r"(?:dot|punto|point|punkt)"
 _BRACKET_AT = re.compile(rf"\s?[\[({{<]\s?(?:{_AT}|@)\s?[\])}}>]\s?", re.I)
 _BRACKET_DOT = re.compile(rf"\s?[\[({{<]\s?(?:{_DOT}|\.)\s?[\])}}>]\s?", re.I)
+#: what every match of the two above holds, without their spaces around it: quick to rule out
+_BRACKETED = re.compile(rf"[\[({{<]\s?(?:{_AT}|@|{_DOT}|\.)\s?[\])}}>]", re.I)
 _SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?P<at>\s{{1,3}}{_AT}\s{{1,3}}|@)[A-Za-z0-9-]{{1,63}}(?P<dots>(?:(?:\s{{1,3}}{_DOT}\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}})+)", re.I)
 _DOT_WORD = re.compile(rf"\s{{1,3}}{_DOT}\s{{1,3}}", re.I)
 _NUMBER = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
@@ -213,14 +215,18 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
+def _has_dot_word(t: str) -> bool:
+    low = t.lower().replace("i\u0307", "i")  # what a dotted capital I becomes, which patterns take for an i
+    return any(w in low for w in ("dot", "punto", "point", "punkt"))
+
+
 def _at_and_dot(x: Mapped) -> Mapped:
-    low = x.text.lower()
-    if any(b in x.text for b in "[({<"):
+    if _BRACKETED.search(x.text):
         for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
             edits = [(m.start(), m.end(), new) for m in pattern.finditer(x.text)]
             if edits:
                 x = x.rewrite(edits)
-    if any(w in low for w in ("dot", "punto", "point", "punkt")):
+    if _has_dot_word(x.text):
         edits = []
         for m in _SPOKEN.finditer(x.text):
             dots = [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(x.text, m.start("dots"), m.end("dots"))]
@@ -236,8 +242,8 @@ def hidden_spans(t: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     x = None
     if not t.isascii() and _ODD.search(t):
         x = _letters(Mapped.of(t))
-    low = (x.text if x else t).lower()
-    if any(w in low for w in ("dot", "punto", "point", "punkt", "[at", "(at", "{at", "<at", "[@", "(@", "[ at", "( at", "arroba")):
+    seen = x.text if x else t
+    if _has_dot_word(seen) or _BRACKETED.search(seen):
         x = _at_and_dot(x or Mapped.of(t))
     said = list(_SPELLED.finditer(x.text if x else t))
     if said:

@@ -348,6 +348,14 @@ def test_disguises(text, kind, span):
     assert [(k, text[a:b]) for k, a, b, base in pii.find(text) if not base] == [(kind, span)]
 
 
+@pytest.mark.parametrize("text,kind", [
+    *((f"john@example{a}.{z}com", "email") for a, z in ("[]", "()", "{}", "<>")), *((f"192{a}.{z}168{a}.{z}0{a}.{z}1", "ip") for a, z in ("[]", "()", "{}", "<>")),
+    *((f"john{a}{w}{z}example.com", "email") for a, z in ("[]", "()", "{}", "<>") for w in ("@", " @ ", "at", " at ", " AT", "arroba")), ("john[ arroba ]example[ . ]com", "email"), ("bob at example poİnt com", "email"),
+])
+def test_disguises_without_another_trigger(text, kind):
+    assert pii.find(text) == [(kind, 0, len(text), False)]
+
+
 @pytest.mark.parametrize("text", ["we met at noon. the dot com boom", "look at one two three", "at home", "точка и запятая", "El punto de vista", "le point est clair"])
 def test_clean_texts(text):
     assert pii.find(text) == []
