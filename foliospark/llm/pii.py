@@ -7,10 +7,14 @@ digits with a valid check digit), phone (a plus and 9 to 15 digits).
 Disguises are undone by transducers that keep, for every character they write,
 the source span it came from: (1) look-alikes and full-width forms become
 ASCII, invisible characters vanish; (2) bracketed at and dot, and the words in
-an address that has both (or an @), become @ and dots; (3) runs of spelled
-digits become digits, with plus and dot words in between.  The base detectors
-run over the result; a match that holds a changed character is mapped back and
-added, unless it touches a base span of its kind.
+an address that has both (or an @), become @ and dots; (3) runs of four and
+more spelled digits become digits, with plus and dot words in between; (4) so do
+shorter runs beside figures, a plus or another such run, and dot words between
+figures.  The base detectors run over the result of (1) to (3), then over that
+of (4); a match that holds a changed character is mapped back and added, unless
+it touches a span of its kind found before.  Runs are beside what up to three
+spaces or signs of numbers (and a dot word) part them from.  The word plus
+counts only before a spelled digit.
 
 Offsets are code points of the source, end exclusive.  Null texts are empty.
 Every scan is linear in the text: addresses are found from each @ outwards and
@@ -20,6 +24,7 @@ than their length.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -82,6 +87,7 @@ _HIDDEN = re.compile("[" + INVISIBLE + "]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
+_FIGURE = re.compile(r"[0-9+]|plus", re.I)
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -96,7 +102,15 @@ _SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?P<at>\s{{
 _DOT_WORD = re.compile(rf"\s{{1,3}}{_DOT}\s{{1,3}}", re.I)
 _NUMBER = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s-]{{1,3}})?{_NUMBER}(?:(?:[\s,-]{{1,3}}(?:{_DOT}[\s,-]{{1,3}})?){_NUMBER}(?!\w)){{3,}}", re.I)
-_PART = re.compile(rf"(?P<plus>plus)|(?P<n>{_NUMBER})(?!\w)|(?P<dot>{_DOT})", re.I)
+_RUN = re.compile(rf"(?<!\w)(?:(?:plus[\s-]|\+)[\s-]{{0,2}})?{_NUMBER}(?!\w)(?:[\s,-]{{1,3}}(?:{_DOT}[\s,-]{{1,3}})?{_NUMBER}(?!\w))*", re.I)
+_SIGNS = r"[\s,().-]"
+_GAP = re.compile(rf"{_SIGNS}{{1,3}}(?:{_DOT}{_SIGNS}{{1,3}})?", re.I)
+_AFTER = re.compile(rf"{_GAP.pattern}[0-9]", re.I)
+_BEFORE = re.compile(rf"(?:[0-9]{_GAP.pattern}|\+{_SIGNS}{{0,3}})\Z", re.I)
+#: characters before a run in which a figure beside it would stand
+_BEFORE_CHARS = 1 + 3 + 5 + 3
+_DOT_FIGURES = re.compile(rf"(?<=[0-9])\s{{1,3}}{_DOT}\s{{1,3}}(?=[0-9])", re.I)
+_PART = re.compile(rf"(?P<plus>plus|\+)|(?P<n>{_NUMBER})(?!\w)|(?P<dot>{_DOT})", re.I)
 
 Span = tuple[int, int]
 
@@ -237,6 +251,37 @@ def _at_and_dot(x: Mapped) -> Mapped:
     return x
 
 
+def _beside_figures(x: Mapped) -> Mapped:
+    """Short runs of spelled digits beside figures or a plus, and dot words between figures."""
+    t = x.text
+    runs = list(_RUN.finditer(t))
+    on = [m[0][0] in "+pP" or bool(_AFTER.match(t, m.end()) or _BEFORE.search(t[max(0, m.start() - _BEFORE_CHARS) : m.start()])) for m in runs]
+    if any(on):
+        linked = [bool(_GAP.fullmatch(t, a.end(), b.start())) for a, b in itertools.pairwise(runs)]
+        for i, near in enumerate(linked):
+            on[i + 1] |= near and on[i]
+        for i in range(len(linked) - 1, -1, -1):
+            on[i] |= linked[i] and on[i + 1]
+        x = x.rewrite([e for m, yes in zip(runs, on, strict=True) if yes for e in _spelled(m)])
+    dots = [(m.start(), m.end(), ".") for m in _DOT_FIGURES.finditer(x.text)] if _has_dot_word(x.text) else []
+    return x.rewrite(dots) if dots else x
+
+
+def _new_spans(x: Mapped, before: dict[str, list[Span]]) -> dict[str, list[Span]]:
+    """Source spans of matches that hold a changed character and touch none of their kind found before."""
+    out = {}
+    for kind, spans in base_spans(x.text).items():
+        new = []
+        for a, b in spans:
+            if any(x.changed[a:b]):
+                s, e = min(x.start[a:b]), max(x.end[a:b])
+                if not any(p < e and s < q for p, q in before.get(kind, ())):
+                    new.append((s, e))
+        if new:
+            out[kind] = new
+    return out
+
+
 def hidden_spans(t: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the transducers bring out."""
     x = None
@@ -248,18 +293,13 @@ def hidden_spans(t: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     said = list(_SPELLED.finditer(x.text if x else t))
     if said:
         x = (x or Mapped.of(t)).rewrite([e for m in said for e in _spelled(m)])
-    if x is None or not any(x.changed):
-        return {}
-    out = {}
-    for kind, spans in base_spans(x.text).items():
-        new = []
-        for a, b in spans:
-            if any(x.changed[a:b]):
-                s, e = min(x.start[a:b]), max(x.end[a:b])
-                if not any(p < e and s < q for p, q in base.get(kind, ())):
-                    new.append((s, e))
-        if new:
-            out[kind] = new
+    out = _new_spans(x, base) if x and any(x.changed) else {}
+    if _FIGURE.search(x.text if x else t):
+        x = x or Mapped.of(t)
+        y = _beside_figures(x)
+        if y is not x:
+            for kind, spans in _new_spans(y, {k: base.get(k, []) + out.get(k, []) for k in KINDS}).items():
+                out[kind] = out.get(kind, []) + spans
     return out
 
 

@@ -356,6 +356,22 @@ def test_disguises_without_another_trigger(text, kind):
     assert pii.find(text) == [(kind, 0, len(text), False)]
 
 
+@pytest.mark.parametrize("text,kind,span", [
+    ("ip 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1"), ("call +1 (two one two) 555-0143.", "phone", "+1 (two one two) 555-0143"), ("192 punto one six eight punto 0.1", "ip", "192 punto one six eight punto 0.1"),
+    ("plus one (two one two) 555 0143", "phone", "plus one (two one two) 555 0143"), ("+one two one two 555-0143", "phone", "+one two one two 555-0143"), ("one dot two dot 3 dot 4", "ip", "one dot two dot 3 dot 4"),
+    ("card 4111 1111 1111 one one 11 ok", "card", "4111 1111 1111 one one 11"), ("+1 two (one) (two) 555-0143", "phone", "+1 two (one) (two) 555-0143"), ("one nine two dot one six eight dot 0 dot 1", "ip", "one nine two dot one six eight dot 0 dot 1"),
+    # a word beside a span found before neither widens nor breaks it
+    ("at １９２.168.0.1 one", "ip", "１９２.168.0.1"), ("call +1 (2\u200b55) 555-8013 one", "phone", "+1 (2\u200b55) 555-8013"), ("card 4111\u200b 1111 1111 1111 one", "card", "4111\u200b 1111 1111 1111"),
+])
+def test_disguises_beside_figures(text, kind, span):
+    assert [(k, text[a:b]) for k, a, b, base in pii.find(text) if not base] == [(kind, span)]
+
+
+@pytest.mark.parametrize("text", ["we paid 3 point 5 plus one, in 2023, two of 40 got 7", "version 1 dot 2 dot 3", "300 dot 168 dot 0 dot 1", "one " * 3 + "a+b"])
+def test_clean_figures(text):
+    assert pii.find(text) == []
+
+
 @pytest.mark.parametrize("text", ["we met at noon. the dot com boom", "look at one two three", "at home", "точка и запятая", "El punto de vista", "le point est clair"])
 def test_clean_texts(text):
     assert pii.find(text) == []
