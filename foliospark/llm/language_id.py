@@ -10,7 +10,8 @@ word in a text of the language.  All training texts count in full; what is
 collected is one number per language and piece, bounded by the vocabulary.
 
 Words are maximal runs of letters, lower-cased, with the model's space mark in
-front.  A letter without a piece costs a fixed probability in each language.
+front.  A letter without a piece costs a fixed probability in each language
+(instead of the vocabulary's byte pieces, which say nothing of letters).
 Words repeat, so each slice of a partition works on its distinct words, all
 side by side.  A null text or one without a letter is `und` with score 0; with
 no training rows everything is `und`.  Equal scores: the first language by name.
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, mix, _PLACE, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: pieces of more characters are left out of the vocabulary
-PIECE_CHARS = 8
+#: longest piece of letters that a vocabulary may have; one with longer pieces is refused, none are left out
+PIECE_CHARS = 16
 UNKNOWN = 1e-7
 #: weight of the prior in each language's distribution, in pieces
 PRIOR = 50.0
@@ -46,8 +47,11 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        usual = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.pieces = [p for p in usual if len(p) <= PIECE_CHARS]
+        self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        #: characters of the longest piece that a word can hold: letters, with or without the space mark in front
+        self.depth = max(len(p) for p in self.pieces if p.removeprefix("▁").isalpha())
+        if self.depth > PIECE_CHARS:
+            raise ValueError(f"pieces of up to {self.depth} characters")
         n = len(self.pieces)
         self.key = np.zeros(n + 1, np.uint64)
         for i, p in enumerate(self.pieces):
@@ -139,13 +143,13 @@ class Words:
     def steps(self, v: Vocabulary) -> Iterator[tuple[int, int, list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]]:
         """For each end place j: (j, words that reach it, [(length, words, pieces)], words without a piece for the letter)."""
         m, none = len(self.size), len(v.pieces)
-        h = np.zeros((PIECE_CHARS, m), np.uint64)
+        h = np.zeros((v.depth, m), np.uint64)
         longest = int(self.size[0]) if m else 0
         reach = np.searchsorted(-self.size, -np.arange(1, longest + 1), side="right")
         for j in range(longest):
             a = int(reach[j])
             c = self.flat[self.start[:a] + j].astype(np.uint64) + np.uint64(1)
-            n = min(PIECE_CHARS, j + 1)
+            n = min(v.depth, j + 1)
             for k in range(n - 1, 0, -1):
                 np.multiply(h[k - 1, :a], _M, out=h[k, :a])
                 h[k, :a] += c
@@ -163,17 +167,17 @@ class Words:
 
     def likelihoods(self, v: Vocabulary, p: np.ndarray) -> np.ndarray:
         """log probability of every word (rows) in every language (columns of p)."""
-        m, langs = len(self.size), p.shape[1]
-        ring = np.zeros((PIECE_CHARS + 1, m, langs))
+        m, langs, deep = len(self.size), p.shape[1], v.depth + 1
+        ring = np.zeros((deep, m, langs))
         ring[0] = 1.0
         scale, out = np.zeros(m), np.zeros((m, langs))
         for j, a, edges, lone in self.steps(v):
-            new = ring[(j + 1) % (PIECE_CHARS + 1)]
+            new = ring[(j + 1) % deep]
             new[:a] = 0
             for k, rows, got in edges:
-                new[rows] += ring[(j + 1 - k) % (PIECE_CHARS + 1)][rows] * p[got]
+                new[rows] += ring[(j + 1 - k) % deep][rows] * p[got]
             if len(lone):
-                new[lone] += ring[j % (PIECE_CHARS + 1)][lone] * UNKNOWN
+                new[lone] += ring[j % deep][lone] * UNKNOWN
             low = np.flatnonzero(new[:a].max(axis=1) < 1e-100)
             if len(low):
                 ring[:, low] *= 1e100

@@ -298,6 +298,27 @@ def test_forward_sums_all_segmentations():
         assert abs(rise - ex[where[piece]]) < 1e-3
 
 
+def test_vocabulary_is_whole():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=language_id.MODEL)
+    usual = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    v = language_id.vocabulary(language_id.MODEL)
+    assert v.pieces == usual
+    prior = dict(zip(usual, v.prior, strict=True))
+    whole = [p for p in usual if len(p) > 8 and p[0] == "▁" and p[1:].isalpha() and p.islower()]
+    assert len(whole) > 1000
+
+    def brute(w):
+        a = [1.0] + [0.0] * len(w)
+        for j in range(1, len(w) + 1):
+            a[j] = sum(a[i] * prior.get(w[i:j], 0.0) for i in range(j)) + (a[j - 1] * language_id.UNKNOWN if w[j - 1] not in prior else 0.0)
+        return np.log(a[-1])
+
+    words = language_id.Words([" ".join(p[1:] for p in whole)], v)
+    assert np.allclose(words.likelihoods(v, v.prior[:, None])[words.of][:, 0], [brute(p) for p in whole])
+
+
 @needs_data
 def test_languages_held_out(spark):
     rows = queries.op8_language_id(spark, SF).join(queries.table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
