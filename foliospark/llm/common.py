@@ -54,6 +54,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """df with a number of each row, _row, written once so that every later pass gives a row the same number."""
+    return materialise(df.withColumn("_row", F.monotonically_increasing_id()), tag)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of at most 8 MB, whatever the length of texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

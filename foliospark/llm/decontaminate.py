@@ -11,10 +11,11 @@ looked up among the items' and every window around a match is then compared
 word by word (64-bit word ids).  Items below 13 words are compared at every position.
 
 Benchmarks go to the tasks in blocks of at most BLOCK_BYTES of text, one pass
-over the documents for each, whose hits are merged by document; there is no
-limit on their number.  Documents are never shuffled: with one block nothing
-is.  Null texts have no words and no hits; empty items never occur; repeated
-items or ids each count (items as a set of ids).  Clashing column names do no
+over the documents for each, whose hits are merged by row; there is no limit on
+their number.  Documents are never shuffled, and with one block nothing is;
+with more, ids and texts are written once with a number of each row.  Null
+texts have no words and no hits; empty items never occur; repeated items or ids
+each count (items as a set of ids), null ids as well: every input row gives one.  Clashing column names do no
 harm: only the id and the text are read.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, map_arrow, mix, slices, _STEP, utf8, word_hashes, words
+from .common import gram_hashes, map_arrow, mix, numbered, slices, _STEP, utf8, word_hashes, words
 from .exact_dedup import without_ids
 
 WINDOW, K = 13, 7
@@ -172,7 +173,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)
     id_type = docs.schema[id_col].dataType
     kind = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {id_type.simpleString()}, n_words bigint, spans array<struct<start:bigint,`end`:bigint>>, items array<string>"
+    keys = ["id"]
+    if blocks > 1:
+        kind, keys = numbered(kind, "contamination-rows"), ["id", "_row"]
+    schema = f"id {id_type.simpleString()}, {'_row bigint, ' if blocks > 1 else ''}n_words bigint, spans array<struct<start:bigint,`end`:bigint>>, items array<string>"
     parts = []
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
@@ -184,8 +188,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 n, spans, found = _hits(index.value, part.column("text"))
                 names = [sorted({index.value.names[i] for i in f.tolist()}) for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n, pa.int64()), pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], _SPAN), pa.array(names, pa.list_(pa.string()))],
-                    ["id", "n_words", "spans", "items"],
+                    [*map(part.column, keys), pa.array(n, pa.int64()), pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], _SPAN), pa.array(names, pa.list_(pa.string()))],
+                    [*keys, "n_words", "spans", "items"],
                 )
 
         parts.append(map_arrow(kind, run, schema))
@@ -194,13 +198,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    # spans of several blocks may overlap; merged per document (its own few spans only)
-    merged = every.groupBy("id").agg(
+    # spans of several blocks may overlap; merged per row (its own few spans only)
+    merged = every.groupBy(*keys).agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return merged.withColumn("spans", F.aggregate("spans", F.expr("cast(array() as array<struct<start:bigint,`end`:bigint>>)"), _join_span)).withColumnRenamed("id", id_col)
+    return merged.drop("_row").withColumn("spans", F.aggregate("spans", F.expr("cast(array() as array<struct<start:bigint,`end`:bigint>>)"), _join_span)).withColumnRenamed("id", id_col)
 
 
 def _join_span(acc, s):

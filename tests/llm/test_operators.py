@@ -97,6 +97,14 @@ def test_contamination(spark, block_bytes):
     assert got == brute_contamination(docs, bench)
 
 
+def test_contamination_of_repeated_and_null_ids(spark):
+    a, b = ("a1 a2 a3 a4 a5 " * 3).strip(), ("b1 b2 b3 b4 b5 " * 3).strip()
+    docs = frame(spark, [(1, a), (1, b), (1, "x " * 400 + a), (1, a), (None, a), (None, "clean"), (None, None), (2, "y")])
+    bench = frame(spark, [(0, a), (1, b)], "item_id long, text string")
+    one, many = (sorted(map(str, decontaminate.contamination(docs, bench, block_bytes=n).collect())) for n in (1 << 24, 40))
+    assert many == one and len(one) == 8
+
+
 def test_contamination_awkward(spark):
     empty = frame(spark, [], "item_id long, text string")
     assert decontaminate.contamination(awkward(spark), empty).where("size(spans) > 0").count() == 0
