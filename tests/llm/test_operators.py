@@ -134,6 +134,20 @@ def test_toxicity_learns_and_survives(spark):
     assert toxicity.score(docs.limit(3), none).where("score >= 0.3").count() == 0
 
 
+def test_evidence_of_repeated_and_null_ids(spark, monkeypatch):
+    words = ["scoundrel", "wretch", "vermin", "cur"]
+    keys = pa.array(toxicity._words(pa.array(words))[0]).to_pylist()
+    gains = spark.createDataFrame([(h, 1.0 + i) for i, h in enumerate(keys)], "hash long, gain double")
+    docs = frame(spark, [(1, "a wretch"), (1, "a wretch"), (1, "cur and vermin"), (None, "scoundrel"), (None, "a b"), (None, None), (2, "x")], "id long, text string")
+    got = []
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(toxicity, "BLOCK_WORDS", most)
+        out = toxicity.evidence(docs, gains)
+        assert out.columns == ["id", "evidence"]
+        got.append(sorted((str(r.id), round(r.evidence, 9)) for r in out.collect()))
+    assert got[0] == got[1] and len(got[0]) == 7
+
+
 # ---- 5 pieces
 TEXTS = ["", " ", "Hello  wörld\n\nfoo\t bar ", "a" * 3000, " " * 23, "x" + " " * 16 + "y", "😀 test \x00 nul\x00", "<s> </s> <0x0A> <unk>", "bababababa aaaa zzzzzz", "Straße ñandú 日本語", "　 ﬁ½"]
 
