@@ -7,6 +7,12 @@ digest of the decoded text.  Documents go when the language model finds no
 letter in them or no language likelier than even, when a copy with a larger id
 is kept (exact), when they are near copies of one with a smaller id, or when a
 twentieth of their words is hit by benchmark windows.
+
+A document is told by its id and its text: rows that repeat both stay or go
+together, and dropping one text leaves others that share its id.  Rows without
+an id are judged by their texts like others; as copies they go where an equal
+text, or one of the same fingerprint, has an id, and else stay.  Near copies
+are linked by ids: see simhash.drop_near_duplicates for shared ones.
 """
 
 from __future__ import annotations
@@ -24,9 +30,9 @@ LEAST_SCORE = 0.5
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in one of the known languages; those of folds 1 to 4 are learned from."""
     langs, p = language_id.train(docs.where(crc_fold(F.col("doc_id"), 5) != 0))
-    found = language_id.predict(docs, langs, p)
+    found = language_id.predict(docs.select(exact_dedup.row_key().alias("key"), "text"), langs, p, "key")
     rejected = found.where((F.col("lang_pred") == "und") | (F.col("score") <= LEAST_SCORE))
-    return exact_dedup.without_ids(docs, rejected.select("doc_id"), "doc_id")
+    return exact_dedup.without_rows(docs, rejected.select("key.*"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

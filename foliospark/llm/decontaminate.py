@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, map_arrow, mix, numbered, slices, _STEP, utf8, word_hashes, words
-from .exact_dedup import without_ids
+from .exact_dedup import row_key, without_rows
 
 WINDOW, K = 13, 7
 BLOCK_BYTES = 16 << 20
@@ -223,7 +223,6 @@ def is_contaminated(spans, n_words):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones."""
-    found = contamination(docs, benchmark, id_col, text_col)
-    return without_ids(docs, found.where(is_contaminated(F.col("spans"), F.col("n_words"))).select(id_col), id_col)
-
+    """docs without the contaminated ones; null and shared ids are told apart by their texts."""
+    found = contamination(docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")), benchmark, "key")
+    return without_rows(docs, found.where(is_contaminated(F.col("spans"), F.col("n_words"))).select("key.*"), id_col, text_col)

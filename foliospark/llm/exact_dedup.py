@@ -64,16 +64,29 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """docs without the ids of gone (one column). Ids go to the rows if they are few, else both meet in a shuffle."""
-    gone = materialise(gone.select(F.col(gone.columns[0]).alias("_gone")).distinct(), "dropped-ids")
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What a document is told by: its id (or none) and 128 bits of its text, as struct<id,h0,h1>. Verdicts on texts carry it as their id."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.struct(F.col(id_col).alias("id"), *(F.xxhash64(F.lit(i), text).alias(f"h{i}") for i in range(2)))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose key is in gone (id, h0, h1). Null ids are equal; a text under the id of a dropped one stays.
+
+    Keys go to the rows if they are few, else both meet in a shuffle.
+    """
+    gone = materialise(gone.select(*(F.col(c).alias(f"_gone_{c}") for c in ("id", "h0", "h1"))).distinct(), "dropped-rows")
     if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    text = F.coalesce(docs[text_col], F.lit(""))
+    same = docs[id_col].eqNullSafe(F.col("_gone_id"))
+    for i in range(2):
+        same &= F.xxhash64(F.lit(i), text) == F.col(f"_gone_h{i}")
+    return docs.join(gone, same, "left_anti")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, whole."""
-    rows, groups = refine(docs, id_col, text_col)
-    gone = rows.join(groups, ["_len", "_prefix", "_full"]).where("_id <> keep_id").select("_id")
-    return without_ids(docs, gone, id_col)
+    """The rows that stay, whole: those that exact_duplicates marks as kept. A row without an id goes if an equal text has one."""
+    rows, groups = refine(docs, id_col, text_col, {"_key": row_key(id_col, text_col)})
+    gone = rows.join(groups, ["_len", "_prefix", "_full"]).where("keep_id is not null and not (_id <=> keep_id)").select("_key.*")
+    return without_rows(docs, gone, id_col, text_col)

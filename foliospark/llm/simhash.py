@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, slices, utf8, words
 from .components import components
-from .exact_dedup import without_ids
+from .exact_dedup import row_key, without_rows
 
 RADIUS, BUCKET, SEED, SHINGLE = 3, 2048, 42, 3
 
@@ -186,9 +186,8 @@ def _bucket_links(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.repartition("t", "key").sortWithinPartitions("t", "key", "rep").select("t", "key", "fp", "rep"), _links, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, fp long, component_id."""
-    fps = materialise(fingerprints(docs, id_col, text_col), "simhash")
+def _classes(fps: DataFrame) -> DataFrame:
+    """fps (id, fp) -> (fp, component_id)."""
     reps = materialise(fps.where("id is not null").groupBy("fp").agg(F.min("id").cast("long").alias("rep")), "simhash-reps")
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(FIRST)])
     rows = reps.select("rep", "fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp", "rep")
@@ -203,10 +202,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _bucket_links(usual.unionByName(split))
     classes = components(links)
     named = reps.join(classes, reps["rep"] == classes["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(materialise(named, "simhash-classes"), "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    return materialise(named, "simhash-classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, fp long, component_id."""
+    fps = materialise(fingerprints(docs, id_col, text_col), "simhash")
+    return fps.join(_classes(fps), "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, that with the smallest id."""
-    found = near_duplicates(docs, id_col, text_col)
-    return without_ids(docs, found.where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)
+    """docs with one document of each class, that with the smallest id.
+
+    A row without an id goes if a row with its fingerprint has one, else it
+    stays.  Rows that share the smallest id of a class all stay.  Classes are
+    linked by ids: where an id is the smallest of several fingerprints, these
+    are one class.
+    """
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    fps = materialise(fingerprints(keyed, "key").select("id.*", "fp"), "simhash")
+    found = fps.join(_classes(fps), "fp", "left")
+    return without_rows(docs, found.where("component_id is not null and not (id <=> component_id)").select("id", "h0", "h1"), id_col, text_col)

@@ -503,3 +503,23 @@ def test_pipeline_stages_awkward(spark):
                 out = stage(spark, docs, SF)
                 assert out.count() <= docs.count()
                 assert name == "sentencepiece" or out.columns == docs.columns
+
+
+def test_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    kept = lambda out: sorted((str(r.doc_id), r.text) for r in out.collect())
+    schema = "doc_id long, text string, lang string"
+    good = "the house and the dog in the garden"
+    rows = [(i, good, "en") for i in range(10, 20)] + [(20, "das haus und der hund im garten", "de"), (None, "123", "en"), (None, good, "en"), (5, "!!", "en"), (5, good, "en")]
+    out = corpus_pipeline.language_stage(spark, frame(spark, rows, schema), SF)
+    assert kept(out) == sorted((str(i), t) for i, t, _ in rows if t not in ("123", "!!"))
+    a, b, c = ("a1 a2 a3 a4 a5 " * 3).strip(), ("b1 b2 b3 b4 b5 " * 3).strip(), "c1 c2 c3"
+    docs = frame(spark, [(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (3, "d"), (3, "d"), (None, None), (None, "")])
+    rest = [("None", ""), ("None", None), ("None", c), ("None", c), ("3", "d"), ("3", "d")]
+    by = lambda x: sorted(x, key=str)
+    got = lambda out: by((str(r.doc_id), r.text) for r in out.collect())
+    assert got(exact_dedup.drop_exact_duplicates(docs)) == by([*rest, ("1", b), ("2", a)])
+    assert got(simhash.drop_near_duplicates(docs)) == by([*rest, ("1", a), ("1", b)])
+    bench = frame(spark, [(0, a)], "item_id long, text string")
+    assert got(decontaminate.decontaminate(docs, bench)) == by([*rest, ("1", b)])
