@@ -179,6 +179,21 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def sieve(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit set of fixed size: bit (top `bits` bits of the key) for each key. At most 2**bits / 64 numbers reach the driver."""
+    top = F.shiftrightunsigned(F.col(column), 64 - bits)
+    words_ = keys.select(top.alias("b")).select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    got = words_.toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got["w"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_sieve(bits: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    b = (keys.view(np.uint64) >> np.uint64(64 - size)).astype(np.int64)
+    return (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
 def crc_fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

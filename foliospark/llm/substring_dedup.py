@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, map_arrow, materialise, mix, slices, _STEP, utf8, word_hashes, words
+from .common import gram_hashes, in_sieve, map_arrow, materialise, mix, sieve, slices, _STEP, utf8, word_hashes, words
 
 WINDOW, K = 20, 8
 SIEVE_BITS, ID_BITS = 27, 24
@@ -120,21 +120,6 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["anchor", "n"])
 
 
-def sieve(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit set of fixed size: bit (top `bits` bits of the key) for each key. At most 2**bits / 64 numbers reach the driver."""
-    top = F.shiftrightunsigned(F.col(column), 64 - bits)
-    words_ = keys.select(top.alias("b")).select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    got = words_.toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[got["w"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
-    return out
-
-
-def _in(bits: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
-    b = (keys.view(np.uint64) >> np.uint64(64 - size)).astype(np.int64)
-    return (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0
-
-
 SEGMENT = "anchor bigint, h1 bigint, h2 bigint, id bigint, pos bigint, n int, seg binary"
 
 
@@ -355,7 +340,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for part in slices(batches, "text"):
             t = Text(part.column("text"))
             h, first, n, of = t.runs()
-            some = np.flatnonzero(_in(bits.value, h, SIEVE_BITS)) if len(h) else np.zeros(0, np.int64)
+            some = np.flatnonzero(in_sieve(bits.value, h, SIEVE_BITS)) if len(h) else np.zeros(0, np.int64)
             if not len(some):
                 continue
             h, first, n, of = h[some], first[some], n[some], of[some]
@@ -414,13 +399,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            some = np.flatnonzero(~_in(ids.value, part.column("h").to_numpy(), ID_BITS))
+            some = np.flatnonzero(~in_sieve(ids.value, part.column("h").to_numpy(), ID_BITS))
             if len(some):
                 yield _finish(part.take(pa.array(some)), None)
 
     def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            some = np.flatnonzero(_in(ids.value, part.column("h").to_numpy(), ID_BITS)) if part.num_rows else np.zeros(0, np.int64)
+            some = np.flatnonzero(in_sieve(ids.value, part.column("h").to_numpy(), ID_BITS)) if part.num_rows else np.zeros(0, np.int64)
             yield part.take(pa.array(some)).select(["id", "text"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
