@@ -117,7 +117,6 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -149,23 +148,60 @@ def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nda
     return s, e, np.searchsorted(off, s, side="right") - 1
 
 
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as were ever asked for."""
+
+    def __init__(self, base: int):
+        self.base = base
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (self._row(x, max(n, 2 * len(self.up), 1 << 16)) for x in (self.base, pow(self.base, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+    @staticmethod
+    def _row(x: int, n: int) -> np.ndarray:
+        out = np.full(n, x, np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+
+
+_BYTES, _GRAMS = Powers(0x9E3779B97F4A7C15), (Powers(0xD6E8FEB86659FD95), Powers(0xC2B2AE3D27D4EB4D))
+#: bytes that word_hashes() sums up at once
+_SUM_BYTES = 1 << 21
+
+
+def _sums(x: np.ndarray, up: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * up, out=out[1:])
+    return out
+
+
 def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word buf[s:e]; the words are disjoint and in order. Not keyed to any run: equal everywhere."""
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    n = e - s
-    total = int(n.sum())
-    base = np.repeat(s - (np.cumsum(n) - n), n)
-    pos = np.arange(total)
-    byte = buf[base + pos]
-    place = pos - np.repeat(np.cumsum(n) - n, n)
-    if int(n.max()) <= 4096:
-        v = _BYTE[byte] * _PLACE[place]
-    else:
-        v = _BYTE[byte] * _PLACE[place & 4095] * (2 * (place >> 12) + 1).astype(np.uint64)
-    # products of odd keys: fold the high half down so that low bits depend on all key bits
-    v ^= v >> np.uint64(32)
-    return mix(np.add.reduceat(v, np.cumsum(n) - n) + n.astype(np.uint64))
+    """64-bit hash of each word buf[s:e]; the words are disjoint and in order. Not keyed to any run: equal everywhere.
+
+    A polynomial of the bytes, from differences of running sums.
+    """
+    out = np.empty(len(s), np.uint64)
+    i = 0
+    while i < len(s):
+        first = int(s[i])
+        j = max(i + 1, int(np.searchsorted(e, first + _SUM_BYTES, side="right")))
+        x = _BYTE[buf[first : int(e[j - 1])]]
+        up, down = _BYTES(len(x))
+        sums = _sums(x, up)
+        a, b = s[i:j] - first, e[i:j] - first
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
+
+
+def run_hashes(h: np.ndarray, start: np.ndarray, size: np.ndarray | int, salt: int = 0) -> np.ndarray:
+    """Hash of each run of values h[start : start + size]."""
+    up, down = _GRAMS[salt](max(len(h), 1))
+    sums = _sums(h, up[: len(h)])
+    return mix((sums[start + size] - sums[start]) * down[start])
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -173,10 +209,29 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out += mix(h[j : j + n] * _STEP[j & 63] + np.uint64(j)) * _STEP[(j * 7 + 3) & 63]
-    return mix(out)
+    up, down = _GRAMS[0](len(h))
+    sums = _sums(h, up)
+    return mix((sums[k:] - sums[:-k]) * down[:n])
+
+
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """gram_hashes of each row, as a whole."""
+    return mix((rows * _GRAMS[0](rows.shape[1])[0]).sum(axis=1, dtype=np.uint64))
+
+
+def first_minima(g: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of each `width` consecutive values, the first of equals; by doubling."""
+    n = len(g) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least, place, span = g, np.arange(len(g)), 1
+    while span < width:
+        by = min(span, width - span)
+        m = len(least) - by
+        less = least[by:] < least[:m]
+        least, place = np.where(less, least[by:], least[:m]), np.where(less, place[by:], place[:m])
+        span += by
+    return place
 
 
 def sieve(keys: DataFrame, column: str, bits: int) -> np.ndarray:

@@ -10,13 +10,15 @@ it: no shared span of 13 words is missed.  Kept document fingerprints are
 looked up among the items' and every window around a match is then compared
 word by word (64-bit word ids).  Items below 13 words are compared at every position.
 
-Benchmarks go to the tasks in blocks of at most BLOCK_BYTES of text, one pass
-over the documents for each, whose hits are merged by row; there is no limit on
-their number.  Documents are never shuffled, and with one block nothing is;
-with more, ids and texts are written once with a number of each row.  Null
+Up to BLOCK_BYTES of benchmark text its windows are broadcast as an index, and
+nothing is shuffled.  Beyond, windows are cut in parallel and stay in Spark: the
+documents' winnowed windows that pass two sieves of fixed size meet them in a
+shuffle by 64-bit hashes (large partitions can be split), and ids and texts are
+written once with a number of each row.  Both ways give the same rows.  Null
 texts have no words and no hits; empty items never occur; repeated items or ids
-each count (items as a set of ids), null ids as well: every input row gives one.  Clashing column names do no
-harm: only the id and the text are read.
+each count (items as a set of ids), null ids as well: every input row gives one.
+An empty benchmark hits nothing, an empty table gives no rows.  Clashing column
+names do no harm: only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, map_arrow, mix, numbered, slices, _STEP, utf8, word_hashes, words
+from .common import first_minima, gram_hashes, in_sieve, map_arrow, materialise, mix, numbered, row_hashes, sieve, slices, utf8, word_hashes, words
 from .exact_dedup import row_key, without_rows
 
 WINDOW, K = 13, 7
 BLOCK_BYTES = 16 << 20
+PRINT_BITS, KEY_BITS = 24, 26
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
@@ -49,48 +52,45 @@ def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(buf, s, e), at
 
 
-def winnow(ids: np.ndarray, window: int, k: int) -> np.ndarray:
+def winnow(ids: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of words the place of its smallest k-gram hash (the first of equals), and the hashes."""
     g = gram_hashes(ids, k)
-    w = window - k + 1
-    n = len(ids) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), g
-    best, place = g[:n].copy(), np.arange(n)
-    for j in range(1, w):
-        x = g[j : j + n]
-        less = x < best
-        best[less] = x[less]
-        place[less] = np.flatnonzero(less) + j
-    return place, g
+    return first_minima(g, window - k + 1), g
+
+
+def item_windows(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, words of each window, number of its text) of the windows of items, by their size."""
+    ids, at = word_ids(texts)
+    count = np.diff(at)
+    size = np.minimum(count, WINDOW)
+    for n in np.unique(size[size > 0]).tolist():
+        some = np.flatnonzero(size == n)
+        each = count[some] - n + 1
+        item = np.repeat(some, each)
+        starts = at[item] + np.arange(len(item)) - np.repeat(np.cumsum(each) - each, each)
+        yield n, ids[starts[:, None] + np.arange(n)], item
+
+
+def fingerprints(rows: np.ndarray) -> np.ndarray:
+    """The kept fingerprint of each window of WINDOW words: its smallest hash of K words."""
+    return np.stack([row_hashes(rows[:, j : j + K]) for j in range(WINDOW - K + 1)], axis=1).min(axis=1)
 
 
 class Index:
     """Windows and fingerprints of a block of items."""
 
     def __init__(self, item_ids: list[str], texts: pa.Array):
-        ids, at = word_ids(texts)
         self.names = item_ids
-        whole: dict[int, list[tuple[bytes, int]]] = {}
-        for i in range(len(texts)):
-            w = ids[at[i] : at[i + 1]]
-            n = min(len(w), WINDOW)
-            for j in range(len(w) - n + 1) if n else ():
-                whole.setdefault(n, []).append((w[j : j + n].tobytes(), i))
         self.by_size = {}
-        for n, found in whole.items():
-            of: dict[bytes, list[int]] = {}
-            for key, i in found:
-                of.setdefault(key, []).append(i)
-            rows = np.frombuffer(b"".join(of), np.uint64).reshape(-1, n)
-            h = np.concatenate([gram_hashes(x, n) for x in rows])
-            order = np.argsort(h, kind="stable")
-            lists = list(of.values())
-            self.by_size[n] = (h[order], rows[order], [np.unique(lists[i]) for i in order])
         prints = np.zeros(0, np.uint64)
-        if WINDOW in self.by_size:
-            rows = self.by_size[WINDOW][1]
-            prints = np.unique(np.concatenate([g[p] for p, g in (winnow(x, WINDOW, K) for x in rows)]))
+        for n, rows, item in item_windows(texts):
+            h = row_hashes(rows)
+            order = np.lexsort((item, h))
+            h, item = h[order], item[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            self.by_size[n] = (h[first], rows[order[first]], np.split(item, first[1:]))
+            if n == WINDOW:
+                prints = np.unique(fingerprints(rows))
         self.prints = prints
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[prints >> np.uint64(44)] = True
@@ -117,7 +117,7 @@ class Index:
                 if not len(starts):
                     continue
                 around = ids[starts[:, None] + np.arange(n)]
-                key = _rows_hash(around)
+                key = row_hashes(around)
             else:
                 starts = np.flatnonzero(np.arange(len(ids) - n + 1) + n <= last[: len(ids) - n + 1])
                 key = gram_hashes(ids, n)[starts]
@@ -129,14 +129,6 @@ class Index:
             yield n, starts[same], i[same]
 
 
-def _rows_hash(rows: np.ndarray) -> np.ndarray:
-    """gram_hashes of each row, as a whole."""
-    out = np.zeros(len(rows), np.uint64)
-    for j in range(rows.shape[1]):
-        out += mix(rows[:, j] * _STEP[j & 63] + np.uint64(j)) * _STEP[(j * 7 + 3) & 63]
-    return mix(out)
-
-
 def _hits(index: Index, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[np.ndarray]]:
     """Per text: number of words, hit spans of words (end exclusive, disjoint), numbers of items."""
     ids, at = word_ids(texts)
@@ -168,43 +160,80 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document: id, n_words, spans array<struct<start,end>> of hit words, items array<string> sorted."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("item is not null")
-    size = items.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
-    # twice the blocks that an even deal needs, so that none exceeds the bound by chance; an item is one row of bounded size
-    blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)
-    id_type = docs.schema[id_col].dataType
-    kind = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keys = ["id"]
-    if blocks > 1:
-        kind, keys = numbered(kind, "contamination-rows"), ["id", "_row"]
-    schema = f"id {id_type.simpleString()}, {'_row bigint, ' if blocks > 1 else ''}n_words bigint, spans array<struct<start:bigint,`end`:bigint>>, items array<string>"
-    parts = []
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        table = block.toArrow()
-        index = spark.sparkContext.broadcast(Index(table["item"].to_pylist(), table["text"].combine_chunks() if len(table) else pa.array([], pa.string())))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, "text"):
-                n, spans, found = _hits(index.value, part.column("text"))
-                names = [sorted({index.value.names[i] for i in f.tolist()}) for f in found]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if (items.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0) > block_bytes:
+        return _joined(rows, items).withColumnRenamed("id", id_col)
+    table = items.toArrow()
+    index = spark.sparkContext.broadcast(Index(table["item"].to_pylist(), table["text"].combine_chunks() if len(table) else pa.array([], pa.string())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            n, spans, found = _hits(index.value, part.column("text"))
+            names = [sorted({index.value.names[i] for i in f.tolist()}) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), pa.array(n, pa.int64()), pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], _SPAN), pa.array(names, pa.list_(pa.string()))],
+                ["id", "n_words", "spans", "items"],
+            )
+
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, spans {_SPANS}, items array<string>"
+    return map_arrow(rows, run, schema).withColumnRenamed("id", id_col)
+
+
+_SPANS = "array<struct<start:bigint,`end`:bigint>>"
+
+
+def _key(n: int, h: np.ndarray) -> np.ndarray:
+    """Key of windows of n words."""
+    return mix(h + np.uint64(n)).view(np.int64)
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """contamination() for a benchmark of any size: what passes two sieves of fixed size meets its windows in a shuffle."""
+    spark = docs.sparkSession
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            for n, rows, item in item_windows(part.column("text")):
+                prints = fingerprints(rows) if n == WINDOW else np.zeros(len(rows), np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [*map(part.column, keys), pa.array(n, pa.int64()), pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], _SPAN), pa.array(names, pa.list_(pa.string()))],
-                    [*keys, "n_words", "spans", "items"],
+                    [pa.array(np.full(len(rows), n, np.int32)), pa.array(_key(n, row_hashes(rows))), pa.array(prints.view(np.int64)), part.column("item").take(pa.array(item))],
+                    ["n", "key", "print", "item"],
                 )
 
-        parts.append(map_arrow(kind, run, schema))
-    if blocks == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # spans of several blocks may overlap; merged per row (its own few spans only)
-    merged = every.groupBy(*keys).agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return merged.drop("_row").withColumn("spans", F.aggregate("spans", F.expr("cast(array() as array<struct<start:bigint,`end`:bigint>>)"), _join_span)).withColumnRenamed("id", id_col)
+    windows = materialise(map_arrow(items.select("item", "text"), cut, "n int, key long, print long, item string").distinct(), "benchmark-windows")
+    sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # at most WINDOW numbers
+    known = spark.sparkContext.broadcast((sieve(windows.where(f"n = {WINDOW}"), "print", PRINT_BITS), sieve(windows, "key", KEY_BITS)))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints, keys = known.value
+        for part in slices(batches, "text"):
+            ids, at = word_ids(part.column("text"))
+            last = np.repeat(at[1:], np.diff(at))
+            for n in sizes:
+                whole = np.arange(max(len(ids) - n + 1, 0)) + n <= last[: max(len(ids) - n + 1, 0)]
+                if n == WINDOW:
+                    place, g = winnow(ids, WINDOW, K)
+                    whole[whole] &= in_sieve(prints, g[place[whole]], PRINT_BITS)
+                starts = np.flatnonzero(whole)
+                key = _key(n, gram_hashes(ids, n)[starts])
+                some = in_sieve(keys, key, KEY_BITS)
+                starts, key = starts[some], key[some]
+                of = np.searchsorted(at, starts, side="right") - 1
+                yield pa.RecordBatch.from_arrays([part.column("_row").take(pa.array(of)), pa.array(starts - at[of]), pa.array(np.full(len(of), n, np.int32)), pa.array(key)], ["_row", "start", "n", "key"])
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("_row"), pa.array(np.diff(word_ids(part.column("text"))[1]))], ["id", "_row", "n_words"])
+
+    rows = numbered(docs, "contamination-rows")
+    hits = materialise(map_arrow(rows.select("_row", "text"), look, "_row long, start long, n int, key long").join(windows.select("key").distinct(), "key"), "contamination-hits")
+    # a document's own hits: at most one a word and size
+    spans = hits.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
+    names = hits.select("_row", "key").distinct().join(windows.select("key", "item").distinct(), "key").groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    sized = map_arrow(rows, size, f"id {rows.schema['id'].dataType.simpleString()}, _row long, n_words long")
+    out = sized.join(spans, "_row", "left").join(names, "_row", "left")
+    merged = F.aggregate("spans", F.expr(f"cast(array() as {_SPANS})"), _join_span)
+    return out.select("id", "n_words", F.coalesce(merged, F.expr(f"cast(array() as {_SPANS})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
 def _join_span(acc, s):

@@ -36,10 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, in_sieve, map_arrow, materialise, mix, sieve, slices, _STEP, utf8, word_hashes, words
+from .common import first_minima, gram_hashes, in_sieve, map_arrow, materialise, run_hashes, sieve, slices, utf8, word_hashes, words
 
 WINDOW, K = 20, 8
 SIEVE_BITS, ID_BITS = 27, 24
@@ -77,12 +78,7 @@ class Text:
         if n <= 0:
             return none.astype(np.uint64), none, none, none
         g = gram_hashes(self.ids, K)
-        best, place = g[:n].copy(), np.arange(n)
-        for j in range(1, WINDOW - K + 1):
-            x = g[j : j + n]
-            less = x < best
-            best[less] = x[less]
-            place[less] = np.flatnonzero(less) + j
+        place = first_minima(g, WINDOW - K + 1)
         last = np.repeat(self.at[1:], np.diff(self.at))[:n]
         whole = np.flatnonzero(np.arange(n) + WINDOW <= last)
         if not len(whole):
@@ -107,10 +103,7 @@ def _binary(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
 
 def _hash_runs(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each run of words."""
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    w = ids[_ragged(start, size)]
-    at = np.cumsum(size) - size
-    return tuple(np.add.reduceat(mix(w * _STEP[(place + salt) & 63] + place.astype(np.uint64)), at).view(np.int64) for salt in (0, 17))
+    return run_hashes(ids, start, size, 0).view(np.int64), run_hashes(ids, start, size, 1).view(np.int64)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,56 +116,73 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SEGMENT = "anchor bigint, h1 bigint, h2 bigint, id bigint, pos bigint, n int, seg binary"
 
 
+class Bits:
+    """Packed bits with sampled ranks: a block holds 32 bits, and above them how many are set before it."""
+
+    def __init__(self, bit: np.ndarray):
+        n = len(bit)
+        padded = np.zeros((n // 32 + 1) * 32, np.uint8)
+        padded[:n] = bit
+        packed = np.packbits(padded, bitorder="little").view(np.uint32).astype(np.uint64)
+        before = np.cumsum(np.bitwise_count(packed), dtype=np.uint64)
+        before[1:], before[0] = before[:-1].copy(), 0
+        self.blocks = before << np.uint64(32) | packed
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """How many of the first i bits are set."""
+        x = self.blocks[i >> 5]
+        below = (np.uint64(1) << (i & 31).view(np.uint64)) - np.uint64(1)
+        return ((x >> np.uint64(32)) + np.bitwise_count(x & below)).view(np.int64)
+
+
 class WaveletMatrix:
-    """Ranks over a sequence of small numbers, in packed bits with sampled counts."""
+    """Ranks over a sequence of small numbers."""
 
     def __init__(self, x: np.ndarray, top: int):
         self.levels = []
         self.bits = max(1, int(top).bit_length())
-        n = len(x)
-        x = x.astype(np.int64)
+        x = x.astype(np.int32)
         for k in range(self.bits - 1, -1, -1):
-            bit = (x >> k & 1).astype(np.uint8)
-            padded = np.zeros((n // 64 + 2) * 64, np.uint8)
-            padded[:n] = bit
-            packed = np.packbits(padded, bitorder="little").view(np.uint64)
-            cum = np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)))[:-1]
-            zeros = int(n - bit.sum())
-            self.levels.append((k, packed, cum, zeros))
-            x = np.concatenate((x[bit == 0], x[bit == 1]))
+            bit = (x >> k & 1).astype(bool)
+            zeros = x[~bit]
+            self.levels.append((k, Bits(bit), len(zeros)))
+            x = np.concatenate((zeros, x[bit]))
         # where the runs of each number begin after the last level
-        self.begin = np.searchsorted(self._reverse(x), self._reverse(np.arange(top + 1)))
+        self.begin = np.searchsorted(self._reverse(x), self._reverse(np.arange(top + 1, dtype=np.int32)))
 
     def _reverse(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), np.int64)
+        out = np.zeros(len(x), np.int32)
         for k in range(self.bits):
             out |= (x >> k & 1) << (self.bits - 1 - k)
         return out
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How many of the first i numbers are c."""
-        i = i.copy()
-        for k, packed, cum, zeros in self.levels:
-            w = i >> 6
-            ones = cum[w] + np.bitwise_count(packed[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+        start = self.begin[c]
+        for k, bits, zeros in self.levels:
+            ones = bits.rank(i)
             i = np.where(c >> k & 1, zeros + ones, i - ones)
-        return i - self.begin[c]
+        return i - start
 
 
 class FMIndex:
-    """Index of joined segments (0 ends each), for patterns up to WINDOW words."""
+    """Compressed index of joined segments (0 ends each), for patterns up to WINDOW words.
 
-    def __init__(self, text: np.ndarray, sigma: int):
+    It keeps the Burrows-Wheeler transform in a wavelet matrix, where each word
+    begins, one bit a suffix where the first WINDOW words change, and the least
+    place of each run between such bits; not the suffixes' positions.
+    """
+
+    def __init__(self, text: np.ndarray, sigma: int, place: np.ndarray):
         n = len(text)
-        place = max(n.bit_length(), 1)
-        rank, width = text.astype(np.int64), 1
-        order = None
-        while width < 2 * WINDOW:
+        bits = max(n.bit_length(), 1)
+        rank, width, kept = text.astype(np.int64), 1, {}
+        while width <= WINDOW:
             nxt = np.zeros(n, np.int64)
             nxt[:-width] = rank[width:] + 1
-            if 3 * place <= 63:
-                key = np.sort(rank << 2 * place | nxt << place | np.arange(n))
-                order, group = key & ((1 << place) - 1), key >> place
+            if 3 * bits <= 63:
+                key = np.sort(rank << 2 * bits | nxt << bits | np.arange(n))
+                order, group = key & ((1 << bits) - 1), key >> bits
             else:
                 order = np.lexsort((nxt, rank))
                 group = rank[order] * (n + 2) + nxt[order]
@@ -180,31 +190,33 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(head) - 1
             width *= 2
+            kept[width] = rank
             if head.all():
                 break
-        self.order, self.n = order, n
-        bwt = text[order - 1]
-        self.matrix = WaveletMatrix(bwt, sigma)
+        self.n = n
+        self.matrix = WaveletMatrix(text[order - 1], sigma)
         self.first = np.searchsorted(text[order], np.arange(sigma + 2))
-        #: length up to which neighbours in the suffix array agree, cut at WINDOW
-        same = np.ones(n - 1, bool)
-        agree = np.zeros(n - 1, np.int64)
-        padded = np.concatenate((text, np.zeros(WINDOW, text.dtype)))
-        for j in range(WINDOW):
-            live = np.flatnonzero(same)
-            if not len(live):
-                break
-            eq = padded[order[live] + j] == padded[order[live + 1] + j]
-            agree[live[eq]] += 1
-            same[live[~eq]] = False
-        cut = np.concatenate(([0], np.flatnonzero(agree < WINDOW) + 1, [n]))
-        self.low = np.repeat(cut[:-1], np.diff(cut))
-        self.high = np.repeat(cut[1:], np.diff(cut))
+        # a suffix begins like the one before it if their first words agree, and those after them up to WINDOW
+        differs, done = np.zeros(n - 1, bool), 0
+        for size in sorted(kept, reverse=True):
+            while done + size <= WINDOW:
+                at = np.minimum(order + done, n - 1)
+                differs |= kept[size][at[1:]] != kept[size][at[:-1]]
+                done += size
+        cut = np.concatenate(([True], differs))
+        self.starts = np.append(np.flatnonzero(cut), n)
+        self.cuts = Bits(cut)
+        self.least = np.minimum.reduceat(place[order], self.starts[:-1])
 
     def step(self, lo: np.ndarray, hi: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of c + pattern."""
+        both = self.matrix.rank(np.concatenate((c, c)), np.concatenate((lo, hi)))
         base = self.first[c]
-        return base + self.matrix.rank(c, lo), base + self.matrix.rank(c, hi)
+        return base + both[: len(c)], base + both[len(c) :]
+
+    def run(self, lo: np.ndarray) -> np.ndarray:
+        """Number of the run of suffixes with the same first WINDOW words that lo lies in."""
+        return self.cuts.rank(lo + 1) - 1
 
 
 def judge(word: np.ndarray, size: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -219,16 +231,9 @@ def judge(word: np.ndarray, size: np.ndarray, doc: np.ndarray, pos: np.ndarray)
     offset = np.arange(total) - np.repeat(begin, n)
     text = np.zeros(total, np.int64)
     text[offset < np.repeat(size, n)] = code + 1
-    sigma = int(code.max()) + 1
-    index = FMIndex(text, sigma)
-    seg = np.repeat(np.arange(len(size)), n)
-    by = np.lexsort((pos[seg] + offset, doc[seg]))
-    d, p = doc[seg][by], (pos[seg] + offset)[by]
-    rank = np.empty(total, np.int64)
-    rank[by] = np.cumsum(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] != p[:-1]))))
-    cut = np.flatnonzero(np.concatenate(([True], index.low[1:] != index.low[:-1])))
-    least = np.minimum.reduceat(rank[index.order], cut)
-    group = np.cumsum(np.bincount(cut, minlength=total)) - 1
+    _, by_doc = np.unique(doc, return_inverse=True)
+    place = np.repeat(by_doc << 40 | pos, n) + offset
+    index = FMIndex(text, int(code.max()) + 1, place)
     mask = np.zeros(len(size), np.int64)
     live = np.argsort(-size, kind="stable")
     at = begin[live] + size[live] - 1
@@ -236,14 +241,14 @@ def judge(word: np.ndarray, size: np.ndarray, doc: np.ndarray, pos: np.ndarray)
     while len(live):
         lo, hi = index.step(lo, hi, text[at])
         length += 1
-        over = length > WINDOW
-        # the match is longer than a window: back to the interval of its first WINDOW words
-        lo[over], hi[over] = index.low[lo[over]], index.high[lo[over]]
-        length[over] = WINDOW
-        full = length == WINDOW
-        some = np.flatnonzero(full & (hi - lo > 1))
-        earlier = some[least[group[lo[some]]] < rank[at[some]]]
-        mask[live[earlier]] |= 1 << offset[at[earlier]]
+        some = np.flatnonzero(length >= WINDOW)
+        if len(some):
+            # a match longer than a window goes back to the interval of its first WINDOW words
+            run = index.run(lo[some])
+            lo[some], hi[some], length[some] = index.starts[run], index.starts[run + 1], WINDOW
+            earlier = index.least[run] < place[at[some]]
+            some = some[earlier]
+            mask[live[some]] |= 1 << offset[at[some]]
         go = offset[at] > 0
         live, at, lo, hi, length = live[go], at[go] - 1, lo[go], hi[go], length[go]
     return mask
@@ -352,7 +357,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     segments = materialise(map_arrow(rows, cut, SEGMENT), "segments")
-    distinct = segments.groupBy("anchor", "h1", "h2").agg(F.lit(1).alias("one"))
+    # anchors in many places first, then those of them with many different segments
+    many = materialise(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(f"k > {CAP}").select("anchor"), "many-places")
+    distinct = segments.select("anchor", "h1", "h2").join(many, "anchor", "left_semi").distinct()
     hot = materialise(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(f"k > {CAP}").select("anchor"), "hot-anchors")
     usual = segments.join(hot, "anchor", "left_anti")
     single = map_arrow(segments.join(hot, "anchor", "left_semi"), _windows, SEGMENT)
@@ -363,31 +370,33 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 _RESULT = ["id", "n_words", "n_removed", "kept"]
 
 
-def _finish(part: pa.RecordBatch, places: list[list[dict] | None] | None) -> pa.RecordBatch:
+def _finish(part: pa.RecordBatch, places: pa.Array | None) -> pa.RecordBatch:
+    """places: a list of (pos, mask) for each row, or null."""
     t = Text(part.column("text"))
     cover = np.zeros(len(t.ids) + 1, np.int64)
     if places is not None:
-        for i, some in enumerate(places):
-            for x in some or ():
-                pos, mask = t.at[i] + x["pos"], x["mask"]
-                while mask:
-                    j = (mask & -mask).bit_length() - 1
-                    if pos + j + WINDOW <= t.at[i + 1]:
-                        cover[pos + j] += 1
-                        cover[pos + j + WINDOW] -= 1
-                    mask &= mask - 1
+        found = places.flatten()
+        row = pc.list_parent_indices(places).to_numpy()
+        pos, mask = t.at[row] + found.field("pos").to_numpy(), found.field("mask").to_numpy()
+        for j in range(int(np.bitwise_or.reduce(mask)).bit_length() if len(mask) else 0):
+            # at most one window starts at a word of a text, whoever says so
+            start = np.unique(pos[(mask >> j & 1 > 0) & (pos + j + WINDOW <= t.at[row + 1])] + j)
+            cover[start] += 1
+            cover[start + WINDOW] -= 1
     keep = np.cumsum(cover[:-1]) == 0
     n = np.diff(t.at)
     left = np.concatenate(([0], np.cumsum(keep)))[t.at]
     k = np.flatnonzero(keep)
-    size = t.e[k] - t.s[k] + 1  # a word and a space
+    size = t.e[k] - t.s[k] + 1  # a word and a space, but after a text's last one
+    ends = np.concatenate(([0], np.cumsum(size)))
+    some = left[1:] > left[:-1]
     flat = t.buf[np.minimum(_ragged(t.s[k], size), max(len(t.buf) - 1, 0))]
-    end = np.cumsum(size)
-    flat[end - 1] = 32
-    ends = np.concatenate(([0], end))
-    data = flat.tobytes()
-    texts = [data[ends[a] : max(ends[a], ends[b] - 1)].decode() for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(n - np.diff(left), pa.int64()), pa.array(texts, pa.string())], _RESULT)
+    flat[ends[1:] - 1] = 32
+    last = np.zeros(len(flat), bool)
+    last[ends[left[1:][some]] - 1] = True
+    off = np.concatenate(([0], ends[left[1:]] - np.cumsum(some))).astype(np.int32)
+    texts = pa.Array.from_buffers(pa.string(), part.num_rows, [None, pa.py_buffer(off), pa.py_buffer(flat[~last])])
+    return pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(n - np.diff(left), pa.int64()), texts], _RESULT)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,7 +419,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield _finish(part, part.column("places").to_pylist())
+            yield _finish(part, part.column("places"))
 
     schema = "id bigint, n_words bigint, n_removed bigint, kept string"
     lists = found.groupBy("id").agg(F.collect_list(F.struct("pos", "mask")).alias("places"))  # at most one entry a word
