@@ -6,17 +6,21 @@ digits with a valid check digit), phone (a plus and 9 to 15 digits).
 
 Disguises are undone by transducers that keep, for every character they write,
 the source span it came from: (1) look-alikes and full-width forms become
-ASCII, invisible characters vanish; (2) bracketed at and dot, and the words in
-an address that has both (or an @), become @ and dots; (3) runs of four and
-more spelled digits become digits, with plus and dot words in between; (4) so do
-shorter runs beside figures, a plus or another such run, and dot words between
-figures.  The base detectors run over the result of (1) to (3), then over that
-of (4); a match that holds a changed character is mapped back and added, unless
-it touches a span of its kind found before.  Runs are beside what up to three
-spaces or signs of numbers (and a dot word) part them from.  The word plus
-counts only before a spelled digit.
-
-Offsets are code points of the source, end exclusive.  Null texts are empty.
+ASCII, invisible characters vanish; (2) bracketed at and dot, the words in an
+address that has both (or an @), and an at word before the name of a host
+(`bob at example.com`) become @ and dots; (3) runs of LONG_RUN and more spelled
+digits become digits, with plus and dot words in between; (4) so do shorter
+runs beside figures, a plus or another such run, and dot words between figures.
+The base detectors run over the result of (1) to (3), then over that of (4); a
+match that holds a changed character is mapped back and added, unless it
+touches a span of its kind found before.  9 to 15 spelled digits in a row, in
+words alone, are a phone number even without a plus, unless they are part of
+another span.  Runs are beside what spaces or signs of numbers (and a dot word)
+part them from, however many.  The word plus counts only before a spelled digit.
+
+Offsets are code points of the source, end exclusive.  Null texts are empty, an
+empty table gives no rows, rows that repeat an id each give theirs, other columns
+are never looked at.
 Every scan is linear in the text: addresses are found from each @ outwards and
 addresses of parts are cut from whole digit chains, so long runs cost no more
 than their length.
@@ -94,22 +98,26 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _AT = r"(?:at|arroba)"
 _DOT = r"(?:dot|punto|point|punkt)"
-_BRACKET_AT = re.compile(rf"\s?[\[({{<]\s?(?:{_AT}|@)\s?[\])}}>]\s?", re.I)
-_BRACKET_DOT = re.compile(rf"\s?[\[({{<]\s?(?:{_DOT}|\.)\s?[\])}}>]\s?", re.I)
+#: white space from its first character on, so that a long run is tried once
+_SPACE = r"(?<!\s)\s+"
+_BRACKET_AT = re.compile(rf"(?:{_SPACE})?[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*", re.I)
+_BRACKET_DOT = re.compile(rf"(?:{_SPACE})?[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
 #: what every match of the two above holds, without their spaces around it: quick to rule out
-_BRACKETED = re.compile(rf"[\[({{<]\s?(?:{_AT}|@|{_DOT}|\.)\s?[\])}}>]", re.I)
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?P<at>\s{{1,3}}{_AT}\s{{1,3}}|@)[A-Za-z0-9-]{{1,63}}(?P<dots>(?:(?:\s{{1,3}}{_DOT}\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}})+)", re.I)
-_DOT_WORD = re.compile(rf"\s{{1,3}}{_DOT}\s{{1,3}}", re.I)
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_AT}|@|{_DOT}|\.)\s*[\])}}>]", re.I)
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>\s+{_AT}\s+|@)[A-Za-z0-9-]++(?P<dots>(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]++)+)", re.I)
+_AT_WORD = re.compile(rf"\s{_AT}\s", re.I)
+_DOT_WORD = re.compile(rf"{_SPACE}{_DOT}\s+", re.I)
 _NUMBER = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[\s-]{{1,3}})?{_NUMBER}(?:(?:[\s,-]{{1,3}}(?:{_DOT}[\s,-]{{1,3}})?){_NUMBER}(?!\w)){{3,}}", re.I)
-_RUN = re.compile(rf"(?<!\w)(?:(?:plus[\s-]|\+)[\s-]{{0,2}})?{_NUMBER}(?!\w)(?:[\s,-]{{1,3}}(?:{_DOT}[\s,-]{{1,3}})?{_NUMBER}(?!\w))*", re.I)
+_SEP = r"[\s,-]+"
+_RUN = re.compile(rf"(?<!\w)(?:(?:plus[\s-]|\+)[\s-]*)?{_NUMBER}(?!\w)(?:{_SEP}(?:{_DOT}{_SEP})?{_NUMBER}(?!\w))*", re.I)
+#: spelled digits that are undone wherever they stand
+LONG_RUN = 4
 _SIGNS = r"[\s,().-]"
-_GAP = re.compile(rf"{_SIGNS}{{1,3}}(?:{_DOT}{_SIGNS}{{1,3}})?", re.I)
+_GAP = re.compile(rf"{_SIGNS}+(?:{_DOT}{_SIGNS}+)?", re.I)
 _AFTER = re.compile(rf"{_GAP.pattern}[0-9]", re.I)
-_BEFORE = re.compile(rf"(?:[0-9]{_GAP.pattern}|\+{_SIGNS}{{0,3}})\Z", re.I)
-#: characters before a run in which a figure beside it would stand
-_BEFORE_CHARS = 1 + 3 + 5 + 3
-_DOT_FIGURES = re.compile(rf"(?<=[0-9])\s{{1,3}}{_DOT}\s{{1,3}}(?=[0-9])", re.I)
+_SIGN = re.compile(_SIGNS)
+_DOT_END = re.compile(rf"{_DOT}\Z", re.I)
+_DOT_FIGURES = re.compile(rf"(?<=[0-9])\s+{_DOT}\s+(?=[0-9])", re.I)
 _PART = re.compile(rf"(?P<plus>plus|\+)|(?P<n>{_NUMBER})(?!\w)|(?P<dot>{_DOT})", re.I)
 
 Span = tuple[int, int]
@@ -234,28 +242,57 @@ def _has_dot_word(t: str) -> bool:
     return any(w in low for w in ("dot", "punto", "point", "punkt"))
 
 
+#: what follows the last dot of a host name
+_TOP = re.compile(r"[A-Za-z]{2,}\Z")
+
+
 def _at_and_dot(x: Mapped) -> Mapped:
     if _BRACKETED.search(x.text):
         for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
             edits = [(m.start(), m.end(), new) for m in pattern.finditer(x.text)]
             if edits:
                 x = x.rewrite(edits)
-    if _has_dot_word(x.text):
+    if _has_dot_word(x.text) or _AT_WORD.search(x.text):
         edits = []
         for m in _SPOKEN.finditer(x.text):
             dots = [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(x.text, m.start("dots"), m.end("dots"))]
-            if dots:
-                edits += ([(m.start("at"), m.end("at"), "@")] if m["at"] != "@" else []) + dots
+            said = m["at"] != "@"
+            # an address in words, or an at word before the name of a host
+            if dots or said and _TOP.search(m["dots"]):
+                edits += ([(m.start("at"), m.end("at"), "@")] if said else []) + dots
         if edits:
             x = x.rewrite(edits)
     return x
 
 
+def _before(t: str, i: int) -> bool:
+    """Whether a figure stands beside what begins at i: before signs (and a dot word among them), or a plus before signs."""
+    a = i
+    while a and _SIGN.match(t, a - 1):
+        a -= 1
+    if a and t[a - 1] == "+":
+        return True
+    if a == i:
+        return False
+    if a and t[a - 1] in _ASCII_DIGITS:
+        return True
+    word = _DOT_END.search(t, max(0, a - 5), a)
+    if not word:
+        return False
+    b = a = word.start()
+    while a and _SIGN.match(t, a - 1):
+        a -= 1
+    return a < b and a > 0 and t[a - 1] in _ASCII_DIGITS
+
+
+_ASCII_DIGITS = frozenset("0123456789")
+
+
 def _beside_figures(x: Mapped) -> Mapped:
     """Short runs of spelled digits beside figures or a plus, and dot words between figures."""
     t = x.text
     runs = list(_RUN.finditer(t))
-    on = [m[0][0] in "+pP" or bool(_AFTER.match(t, m.end()) or _BEFORE.search(t[max(0, m.start() - _BEFORE_CHARS) : m.start()])) for m in runs]
+    on = [m[0][0] in "+pP" or bool(_AFTER.match(t, m.end())) or _before(t, m.start()) for m in runs]
     if any(on):
         linked = [bool(_GAP.fullmatch(t, a.end(), b.start())) for a, b in itertools.pairwise(runs)]
         for i, near in enumerate(linked):
@@ -288,12 +325,21 @@ def hidden_spans(t: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     if not t.isascii() and _ODD.search(t):
         x = _letters(Mapped.of(t))
     seen = x.text if x else t
-    if _has_dot_word(seen) or _BRACKETED.search(seen):
+    if _has_dot_word(seen) or _BRACKETED.search(seen) or _AT_WORD.search(seen):
         x = _at_and_dot(x or Mapped.of(t))
-    said = list(_SPELLED.finditer(x.text if x else t))
+    said = [(m, _spelled(m)) for m in _RUN.finditer(x.text if x else t)]
+    said = [(m, e) for m, e in said if sum(new.isdigit() for *_, new in e) >= LONG_RUN]
+    calls = []
     if said:
-        x = (x or Mapped.of(t)).rewrite([e for m in said for e in _spelled(m)])
+        x = x or Mapped.of(t)
+        calls = [(x.start[m.start()], x.end[m.end() - 1]) for m, e in said if all(new.isdigit() for *_, new in e) and 9 <= len(e) <= 15]
+        x = x.rewrite([y for _, e in said for y in e])
     out = _new_spans(x, base) if x and any(x.changed) else {}
+    # as many digits as a phone number has, in words alone, are one without a plus unless they are part of something else
+    taken = [s for found in (base, out) for v in found.values() for s in v]
+    calls = [(a, b) for a, b in calls if not any(p < b and a < q for p, q in taken)]
+    if calls:
+        out["phone"] = out.get("phone", []) + calls
     if _FIGURE.search(x.text if x else t):
         x = x or Mapped.of(t)
         y = _beside_figures(x)

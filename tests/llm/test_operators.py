@@ -386,6 +386,9 @@ def test_base_identifiers():
     ("bоb@exаmple.com", "email", "bоb@exаmple.com"), ("call plus one five five five two three four five six seven eight ok", "phone", "plus one five five five two three four five six seven eight"),
     ("ip １９２.168.0.1", "ip", "１９２.168.0.1"), ("one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"), ("call +1 (2​55) 555-8013", "phone", "+1 (2​55) 555-8013"),
     ("bob(at)example.com", "email", "bob(at)example.com"), ("bob@example dot com", "email", "bob@example dot com"),
+    ("write bob at example.com now", "email", "bob at example.com"), ("call five five five one two three four five six", "phone", "five five five one two three four five six"),
+    ("bob    at    example    dot    com", "email", "bob    at    example    dot    com"), ("b" * 70 + " at " + "e" * 70 + " dot com", "email", "b" * 70 + " at " + "e" * 70 + " dot com"),
+    ("ip 192    dot    168 dot 0 dot 1", "ip", "192    dot    168 dot 0 dot 1"), ("one     nine two dot one six eight    dot zero dot one", "ip", "one     nine two dot one six eight    dot zero dot one"),
 ])
 def test_disguises(text, kind, span):
     assert [(k, text[a:b]) for k, a, b, base in pii.find(text) if not base] == [(kind, span)]
@@ -424,6 +427,8 @@ def test_identifiers_frame(spark):
     got = pii.identifiers(awkward(spark)).collect()
     assert len(got) == 20 and all(r.spans == [] for r in got)
     assert pii.find("1" * 200_000 + "." * 5) == [] and pii.find("a" * 200_000 + "@") == []
+    for odd in (" " * 200_000, " " * 100_000 + "at" + " " * 100_000, "one " * 20_000 + "," * 100_000 + " two", "[ " * 50_000, "a at " * 40_000, "1 dot " * 40_000, "a." * 100_000):
+        assert all(a < b for _, a, b, _ in pii.find(odd))
 
 
 # ---- 10 exact
