@@ -5,8 +5,10 @@ equal texts the row with the largest id stays.  Rows that repeat an id and a
 text stay or go together (they are one document).  Empty texts form one group,
 an empty table gives an empty result; other columns are never looked at.
 
-Only counts by key are shuffled, never texts.  A hot group costs one row per
-task (partial aggregation); rows meet their group in a join that AQE can split.
+Counts are shuffled by key, one row per task and key (partial aggregation).  Up
+to BROADCAST_KEYS surviving keys texts never are; beyond, they meet the keys in
+a semi join, before which Spark can sieve them.  Rows meet their group in a join
+that can be split.
 """
 
 from __future__ import annotations
@@ -16,8 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Keys (of 16 bytes) up to which the surviving keys are broadcast, so that full hashes are made for their rows alone.
-#: Beyond it every row is hashed in the same scan, which gives the same groups.
+#: Keys (of 16 bytes) up to which the surviving keys are broadcast; beyond it they meet the rows in shuffles.
 BROADCAST_KEYS = 500_000
 PREFIX_CHARS = 64
 
@@ -43,10 +44,12 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extr
     full = F.unhex(F.sha2(F.col("_text").cast("binary"), 256))
     if left.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         rows = keys.join(F.broadcast(left.withColumn("_hit", F.lit(True))), ["_len", "_prefix"], "left")
-        full = F.when(F.col("_hit"), full)
+        rows = rows.select("_id", "_len", "_prefix", F.when(F.col("_hit"), full).alias("_full"), *extra)
     else:
-        rows = keys
-    rows = rows.select("_id", "_len", "_prefix", full.alias("_full"), *extra)
+        # texts of survivors alone are hashed; rows that are set apart go without their text
+        same = ["_len", "_prefix"]
+        rows = keys.join(left, same, "left_semi").select("_id", *same, full.alias("_full"), *extra)
+        rows = rows.unionByName(keys.drop("_text").join(left, same, "left_anti").select("_id", *same, F.lit(None).cast("binary").alias("_full"), *extra))
     groups = (
         rows.where("_full is not null").groupBy("_len", "_prefix", "_full")
         .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")

@@ -5,7 +5,8 @@ subdomains if the URL's path starts with the rule's path; the longest rule
 wins (then the smaller string).  Host: after the first `://` up to `/`, `?`,
 `#` or the end, A-Z lower-cased; path: then up to `?`, `#` or the end.  A null
 URL or one without `://` has an empty host and path and fits no rule; the
-verdict without a rule is the default.  Repeated URLs each get their row.
+verdict without a rule is the default.  Repeated URLs and ids each get their
+row, an empty table gives none, and only the id and the URL are read of it.
 
 Paths are cut only at the lengths that rules have, so the expressions of a URL
 are (labels of its host) x (rule path lengths), however long the URL is.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str]] = RULES) ->
         if verdict not in ("allow", "block") or "/" not in rule:
             raise ValueError(f"not a rule: {verdict} {rule}")
         first.setdefault(rule, verdict)
-    df = spark.createDataFrame([(r, v) for r, v in first.items()], "rule string, rule_verdict string")
+    # an Arrow table stays in the JVM: no Python workers
+    df = spark.createDataFrame(pa.table({"rule": pa.array(list(first), pa.string()), "rule_verdict": pa.array(list(first.values()), pa.string())}))
     digest = F.sha2("rule", 256)
     return df.select("rule", "rule_verdict", F.substring(digest, 1, HASH_CHARS).alias("short"), digest.alias("digest"))
 
@@ -70,8 +73,10 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     keyed = urls.select(own.alias("own"), "_row", F.explode_outer(expressions).alias("_expr"))
     digest = F.sha2("_expr", 256)
     keyed = keyed.select("own", "_row", digest.alias("_digest"), F.substring(digest, 1, HASH_CHARS).alias("_short"))
-    hit = keyed.join(table, (F.col("_short") == F.col("short")) & (F.col("_digest") == F.col("digest")), "left")
-    best = hit.groupBy("_row", "own").agg(F.min_by(F.struct("rule", "rule_verdict"), F.when(F.col("rule").isNotNull(), F.struct(-F.length("rule"), F.col("rule")))).alias("best"))
+    # short prefixes meet first; then full digests confirm, and what they confirm is ranked
+    hit = keyed.join(table, F.col("_short") == F.col("short"), "left")
+    order = F.when(F.col("_digest") == F.col("digest"), F.struct(-F.length("rule"), F.col("rule")))
+    best = hit.groupBy("_row", "own").agg(F.min_by(F.struct("rule", "rule_verdict"), order).alias("best"))
     return best.select(
         F.col("own._id").alias(id_col), "own.host", "own.path", F.col("best.rule").alias("rule"),
         F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"),

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -131,20 +132,90 @@ def test_toxicity_learns_and_survives(spark):
     odd = toxicity.score(awkward(spark), model).collect()
     assert len(odd) == 20 and all(0 <= r.score <= 1 for r in odd)
     none = toxicity.train(toxicity.labelled(docs, labels.where("false")))
-    assert toxicity.score(docs.limit(3), none).where("score >= 0.3").count() == 0
-
-
-def test_evidence_of_repeated_and_null_ids(spark, monkeypatch):
+    assert toxicity.score(docs.limit(3), none).where("score <> 0").count() == 0
+    assert toxicity.score(docs.where("false"), model).count() == 0 and toxicity.train(toxicity.labelled(docs.where("false"), labels)).gains is None
+    # equal texts have equal scores, whatever their ids
+    again = toxicity.score(frame(spark, rows[:3] * 2), model).collect()
+    assert len(again) == 6 and len({(r.doc_id, r.score) for r in again}) == 3
+
+
+def brute_models(rows):
+    """log P_toxic - log P_ordinary of every word after every word, by the formulas of the module, in plain loops."""
+    D, D2, R, d = toxicity.DISCOUNT, toxicity.PAIR_DISCOUNT, toxicity.RATIO, toxicity.SHARED_DISCOUNT
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for _, text, c in rows:
+        w = re.findall(r"[a-z\x80-\U0010ffff]+", (text or "").lower())
+        one[c].update(set(w))
+        two[c].update(set(zip(["^", *w], w)))
+    words, pairs = set(one[0]) | set(one[1]), set(two[0]) | set(two[1])
+    before = Counter(w for _, w in pairs)
+    n = [sum(x.values()) for x in one]
+    shared = {w: (before[w] - d + d * len(words) / (len(words) + 1)) / sum(before.values()) for w in words}
+
+    def excess(c, w):
+        return max(0, one[c][w] / n[c] - max(D / min(n), R * one[1 - c][w] / n[1 - c]))
+
+    free = [1 - sum(excess(c, w) for w in words) for c in (0, 1)]
+    p = [{w: excess(c, w) + free[c] * shared[w] for w in words} for c in (0, 1)]
+    total = [Counter(), Counter()]
+    for c in (0, 1):
+        for (v, _), k in two[c].items():
+            total[c][v] += k
+
+    def pair_excess(c, v, w):
+        share = [two[k][v, w] / total[k][v] if total[k][v] else 0 for k in (0, 1)]
+        small = min(total[0][v], total[1][v]) or max(total[0][v], total[1][v])
+        return max(0, share[c] - max(D2 / small, R * share[1 - c], R * p[c][w]))
+
+    kept = [Counter(), Counter()]
+    for v, w in pairs:
+        for c in (0, 1):
+            kept[c][v] += pair_excess(c, v, w)
+
+    def prob(c, v, w):
+        return (pair_excess(c, v, w) if (v, w) in pairs else 0) + (1 - kept[c][v]) * p[c][w]
+
+    return prob, words, free
+
+
+def test_toxicity_against_brute_force(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(240):
+        w = [rnd.choice("abcdefghij") + rnd.choice("klm") for _ in range(rnd.randint(0, 30))]
+        if i % 3 == 0:
+            w += ["go", "away"] * rnd.randint(0, 2) + ["vermin"] * rnd.randint(0, 2)
+        elif i % 3 == 1:
+            w += ["do", "stay", "go", "on"]
+        rnd.shuffle(w) if i % 2 else None
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    frame_ = frame(spark, rows, "id long, text string, toxic int").withColumn("part", F.lit(0))
+    table, constant = toxicity.gains(toxicity.count(frame_), "t0", "o0")
+    prob, words, free = brute_models(rows)
+    # both are distributions, but for the share of words never seen
+    for c in (0, 1):
+        for v in ("^", "go", "ak", "unseen"):
+            assert 0.99 < sum(prob(c, v, w) for w in words) <= 1 + 1e-9
+    assert abs(constant - np.log(free[1] / free[0])) < 1e-12 and table.count() > 4
+    want = {}
+    for i, text, _ in rows:
+        w = text.split()
+        want[i] = sum(np.log(prob(1, v, x) / prob(0, v, x)) for v, x in zip(["^", *w], w)) / max(len(w), 1)
+    for most in (1 << 20, 0):
+        got = {r.id: r.ratio for r in toxicity.ratios(frame_, table, constant, most=most).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_ratios_of_repeated_and_null_ids(spark):
     words = ["scoundrel", "wretch", "vermin", "cur"]
     keys = pa.array(toxicity._words(pa.array(words))[0]).to_pylist()
-    gains = spark.createDataFrame([(h, 1.0 + i) for i, h in enumerate(keys)], "hash long, gain double")
+    gains = spark.createDataFrame([(h, 1.0 + i) for i, h in enumerate(keys)], "key long, gain double")
     docs = frame(spark, [(1, "a wretch"), (1, "a wretch"), (1, "cur and vermin"), (None, "scoundrel"), (None, "a b"), (None, None), (2, "x")], "id long, text string")
     got = []
     for most in (1 << 20, 1):
-        monkeypatch.setattr(toxicity, "BLOCK_WORDS", most)
-        out = toxicity.evidence(docs, gains)
-        assert out.columns == ["id", "evidence"]
-        got.append(sorted((str(r.id), round(r.evidence, 9)) for r in out.collect()))
+        out = toxicity.ratios(docs, gains, -0.25, most=most)
+        assert out.columns == ["id", "ratio"]
+        got.append(sorted((str(r.id), round(r.ratio, 9)) for r in out.collect()))
     assert got[0] == got[1] and len(got[0]) == 7
 
 
@@ -452,6 +523,37 @@ def test_empty_tables(spark):
     assert chat_format.format_conversations(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+CLASHES = ("id", "_id", "_row", "_text", "_len", "_prefix", "_full", "key", "gain", "n", "anchor", "seg", "pos", "fp", "rep", "spans", "items", "ids", "score", "host", "path", "own", "rule", "digest", "short", "lang_pred", "ratio", "part", "places")
+
+
+def clashing(spark):
+    """Repeated rows, null and shared ids, odd texts, and columns named like those that operators make."""
+    rows = [(i, t) for i, t in enumerate(AWKWARD[1:])] * 2 + [(None, "a"), (None, None), (3, "another text"), (None, "w " * 60)]
+    return frame(spark, rows).select("doc_id", *(F.lit("x").alias(c) for c in CLASHES), "text")
+
+
+@pytest.mark.parametrize("name", ["contamination", "score", "encode", "near_duplicates", "remove_repeats", "predict", "identifiers", "exact_duplicates", "filter_urls"])
+def test_repeated_null_and_clashing(spark, name):
+    docs = clashing(spark)
+    n = docs.count()
+    run = {
+        "contamination": lambda d: decontaminate.contamination(d, frame(spark, [(1, "w " * 20), (None, "a"), (2, None), (2, "é")], "item_id long, text string")),
+        "score": lambda d: toxicity.score(d, toxicity.train(toxicity.labelled(d, frame(spark, [(1, 1), (2, 0), (3, 1), (8, 0)], "doc_id long, toxic int")))),
+        "encode": lambda d: sentencepieces.encode(d, decoded=True).select("doc_id", "ids", "decoded"),
+        "near_duplicates": simhash.near_duplicates, "remove_repeats": substring_dedup.remove_repeats,
+        "predict": lambda d: language_id.predict(d, *language_id.train(d.withColumn("lang", F.lit("en")))),
+        "identifiers": pii.identifiers, "exact_duplicates": exact_dedup.exact_duplicates,
+        "filter_urls": lambda d: url_filter.filter_urls(d.withColumn("url", F.col("text")), "doc_id"),
+    }[name]
+    out = run(docs).collect()
+    assert len(out) == n
+    # what a row gets is told by its id and text: repeated rows get the same
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in docs.collect())
+    same = [tuple(map(str, r)) for r in out if r.doc_id in (0, 1, 4, 5)]
+    assert name == "remove_repeats" or all(c % 2 == 0 for c in Counter(same).values())
+    assert run(docs.where("false")).count() == 0
+
+
 def test_tables_are_dropped(spark):
     from foliospark.llm import common
 
