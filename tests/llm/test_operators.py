@@ -140,7 +140,7 @@ def test_toxicity_learns_and_survives(spark):
 
 
 def brute_models(rows):
-    """log P_toxic - log P_ordinary of every word after every word, by the formulas of the module, in plain loops."""
+    """Probability of every word after every word in both classes, by the formulas of the module, in plain loops."""
     D, D2, R, d = toxicity.DISCOUNT, toxicity.PAIR_DISCOUNT, toxicity.RATIO, toxicity.SHARED_DISCOUNT
     one, two = [Counter(), Counter()], [Counter(), Counter()]
     for _, text, c in rows:
@@ -148,7 +148,10 @@ def brute_models(rows):
         one[c].update(set(w))
         two[c].update(set(zip(["^", *w], w)))
     words, pairs = set(one[0]) | set(one[1]), set(two[0]) | set(two[1])
-    before = Counter(w for _, w in pairs)
+    before = Counter()
+    for c in (0, 1):
+        for (_, w), k in two[c].items():
+            before[w] += k
     n = [sum(x.values()) for x in one]
     shared = {w: (before[w] - d + d * len(words) / (len(words) + 1)) / sum(before.values()) for w in words}
 
@@ -164,8 +167,7 @@ def brute_models(rows):
 
     def pair_excess(c, v, w):
         share = [two[k][v, w] / total[k][v] if total[k][v] else 0 for k in (0, 1)]
-        small = min(total[0][v], total[1][v]) or max(total[0][v], total[1][v])
-        return max(0, share[c] - max(D2 / small, R * share[1 - c], R * p[c][w]))
+        return max(0, share[c] - max(D2 * n[c] / min(n) / total[c][v], R * share[1 - c], R * p[c][w])) if total[c][v] else 0
 
     kept = [Counter(), Counter()]
     for v, w in pairs:
@@ -190,7 +192,7 @@ def test_toxicity_against_brute_force(spark):
         rnd.shuffle(w) if i % 2 else None
         rows.append((i, " ".join(w), int(i % 3 == 0)))
     frame_ = frame(spark, rows, "id long, text string, toxic int").withColumn("part", F.lit(0))
-    table, constant = toxicity.gains(toxicity.count(frame_), "t0", "o0")
+    table, constant = toxicity.gains(toxicity.count(frame_), *toxicity.PARTS[0])
     prob, words, free = brute_models(rows)
     # both are distributions, but for the share of words never seen
     for c in (0, 1):
