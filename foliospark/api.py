@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
-from .functions.text import sentences
+from .functions.text import each_sentence
 from .operators import rewrite, suggest
 from .plans import guide as guide_plan
 from .plans import review as review_plan
@@ -29,20 +29,18 @@ def review_candidates(pairs: DataFrame) -> DataFrame:
 
 
 def revise(docs: DataFrame, preset: str = "academic_natural") -> DataFrame:
-    """Rewritten documents with review and gate: body blocks are rewritten sentence by sentence, everything else is kept.
+    """Rewritten documents with review and gate: body blocks are rewritten sentence by sentence, everything else is kept, byte for byte.
 
     doc_id, ordinal, original, revised and the review's columns.
     """
     mode, _, _ = config.preset(preset)
     body = F.col("edit_policy").isin("rewritable", "light_edit") if mode != "conservative" else F.col("edit_policy") == "rewritable"
-    blocks = guide_plan.blocks(docs)
     change = rewrite.l2_variant if preset == "zh_academic_l2_mild" else rewrite.naturalise
-    new = F.when(body, F.array_join(F.transform(sentences(F.col("text")), change), "")).otherwise(F.col("text"))
-    ordered = blocks.select("doc_id", F.struct(F.col("block_id"), F.col("text").alias("o"), new.alias("r")).alias("b")).groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    pairs = ordered.select(
-        "doc_id", F.lit(1).alias("ordinal"), F.array_join(F.transform("bs", lambda b: b["o"]), "\n").alias("original"), F.array_join(F.transform("bs", lambda b: b["r"]), "\n").alias("revised")
-    )
-    return review_plan.review(pairs)
+    cut = guide_plan.blocks(docs).withColumn("_new", F.when(body, each_sentence(F.col("text"), change)).otherwise(F.col("text")))
+    part = F.struct("block_id", "part", F.concat("before", "text").alias("o"), F.concat("before", "_new").alias("r"))
+    ordered = cut.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(part)).alias("_b"))  # a document's own parts
+    whole = [F.array_join(F.col(f"_b.{k}"), "").alias(n) for k, n in (("o", "original"), ("r", "revised"))]
+    return review_plan.review(ordered.select("doc_id", F.lit(1).alias("ordinal"), *whole))
 
 
 def write(reviewed: DataFrame, path: str) -> None:

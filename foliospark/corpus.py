@@ -50,8 +50,8 @@ LINES = """(values
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
-    return spark.sql(BLOCKS)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return spark.sql(BLOCKS.replace("from orders", "from {orders}"), orders=orders)
 
 
 def sample_lines(spark: SparkSession) -> DataFrame:

@@ -80,6 +80,15 @@ def breaks(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[。！？!?；;])"), lambda s: s != "")
 
 
+def each_sentence(text: Column, change: Callable[[Column], Column]) -> Column:
+    """The text with every sentence changed, and all that stands around sentences kept."""
+    def one(piece: Column) -> Column:
+        lead, tail = F.regexp_extract(piece, u(r"^\s*"), 0), F.regexp_extract(piece, u(r"\s*$"), 0)
+        return F.when(strip(piece) == "", piece).otherwise(F.concat(lead, change(strip(piece)), tail))
+
+    return F.array_join(F.transform(F.split(text, "(?<=[。！？?!])"), one), "")
+
+
 def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, u(r"\n\s*\n")), strip), lambda s: s != "")
 

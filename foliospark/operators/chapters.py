@@ -14,9 +14,9 @@ def clean_title(text: Column) -> Column:
     return strip(F.regexp_replace(joined, r"^\s{0,3}#{1,6}\s*", ""))
 
 
-def fill(blocks: DataFrame, id_col: str = "doc_id", order: str = "block_id", text_col: str = "text") -> DataFrame:
-    """Adds chapter_id and chapter_title: how many headings came so far, and the last one's title."""
-    w = Window.partitionBy(id_col).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def fill(blocks: DataFrame, id_col: str = "doc_id", *order: str, text_col: str = "text") -> DataFrame:
+    """Adds chapter_id and chapter_title: how many headings came so far (by order, block_id by default), and the last one's title."""
+    w = Window.partitionBy(id_col).orderBy(*(order or ("block_id",))).rowsBetween(Window.unboundedPreceding, 0)
     first_line = F.split(strip(F.col(text_col)), "\n")[0]
     df = blocks.withColumn("_head", has(first_line, P.CHAPTER_HEADING))
     return df.withColumns({

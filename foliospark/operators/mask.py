@@ -18,6 +18,8 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from ..functions import patterns as P
 
 TOKEN = r"\[\[KEEP:[A-Z_]+:\d{4,}\]\]"
+#: what looks like a token in the source is masked before all else
+LITERAL = "LITERAL"
 MARKDOWN = (
     ("CODE", P.FENCE), ("MATH_BLOCK", P.FORMULA_BLOCK), ("IMAGE", P.IMAGE), ("LINK", P.LINK), ("LINK_DEF", P.LINK_DEF), ("AUTOLINK", P.AUTOLINK),
     ("URL", P.URL), ("INLINE_MATH", P.INLINE_MATH), ("INLINE_CODE", P.INLINE_CODE),
@@ -56,7 +58,7 @@ def mask_text(text: str | None, markdown: bool = True, core: bool = True) -> dic
         kept.append({"token": f"[[KEEP:{label}:{len(kept):04d}]]", "label": label, "value": value})
         return kept[-1]["token"]
 
-    out = text or ""
+    out = _TOKEN.sub(lambda m: token(LITERAL, m[0]), text or "")
     if markdown:
         for label, p in MARKDOWN:
             out = _COMPILED[p].sub(lambda m, label=label: token(label, m[0]), out)
@@ -77,6 +79,16 @@ def mask_markdown(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([mask_text(t, core=False) for t in texts], columns=["text", "kept"])
 
 
+def unmask(text: str, kept: dict[str, dict]) -> str:
+    """The source of a masked text; kept: what stands for each token. Tokens inside values come out too, those of the source stay."""
+
+    def value(m: re.Match) -> str:
+        k = kept[m[0]]
+        return k["value"] if k["label"] == LITERAL else _TOKEN.sub(value, k["value"])
+
+    return _TOKEN.sub(value, text)
+
+
 def restore(text: Column, kept: Column) -> Column:
-    """Put the values back, last token first, so that tokens inside values come out too."""
+    """Put the values back, last token first, so that tokens inside values come out too; those of the source, which are first, stay."""
     return F.aggregate(F.reverse(kept), text, lambda acc, k: F.replace(acc, k["token"], k["value"]))
