@@ -31,7 +31,7 @@ def family_query(family: str, signals: dict, flags: dict, lists: dict[str, str],
     src = made(signals, flags)
     means = list(A.FAMILIES[family].means)
     neutral = A.FAMILIES[family].means
-    agg = [f"coalesce(avg(case when {ON}{' and has_enumeration' if m == 'enumeration' else ''} then {m} end), {neutral[m]}) as m_{m}" for m in means]
+    agg = [f"round(coalesce(avg(case when {ON}{' and has_enumeration' if m == 'enumeration' else ''} then {m} end), {neutral[m]}), 4) as m_{m}" for m in means]
     agg += [f"list_sort(coalesce(list(paragraph) filter ({ON} and ({c})), [])) as l_{n}" for n, c in lists.items()]
 
     def fill(c: str) -> str:

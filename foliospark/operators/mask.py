@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from ..functions import patterns as P
 
 TOKEN = r"\[\[KEEP:[A-Z_]+:\d{4,}\]\]"
-#: what looks like a token in the source is masked before all else
+#: what looks like a token in the source is masked before all else, under a label that the source does not have
 LITERAL = "LITERAL"
 MARKDOWN = (
     ("CODE", P.FENCE), ("MATH_BLOCK", P.FORMULA_BLOCK), ("IMAGE", P.IMAGE), ("LINK", P.LINK), ("LINK_DEF", P.LINK_DEF), ("AUTOLINK", P.AUTOLINK),
@@ -58,7 +58,10 @@ def mask_text(text: str | None, markdown: bool = True, core: bool = True) -> dic
         kept.append({"token": f"[[KEEP:{label}:{len(kept):04d}]]", "label": label, "value": value})
         return kept[-1]["token"]
 
-    out = _TOKEN.sub(lambda m: token(LITERAL, m[0]), text or "")
+    literal = LITERAL
+    while f"[[KEEP:{literal}:" in (text or ""):
+        literal += "X"
+    out = _TOKEN.sub(lambda m: token(literal, m[0]), text or "")
     if markdown:
         for label, p in MARKDOWN:
             out = _COMPILED[p].sub(lambda m, label=label: token(label, m[0]), out)
@@ -84,7 +87,7 @@ def unmask(text: str, kept: dict[str, dict]) -> str:
 
     def value(m: re.Match) -> str:
         k = kept[m[0]]
-        return k["value"] if k["label"] == LITERAL else _TOKEN.sub(value, k["value"])
+        return k["value"] if k["label"].startswith(LITERAL) else _TOKEN.sub(value, k["value"])
 
     return _TOKEN.sub(value, text)
 

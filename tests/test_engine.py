@@ -175,6 +175,49 @@ def test_guide_revise_and_files(spark, tmp_path):
     assert guide.blocks(docs).where("edit_policy = 'do_not_touch'").count() >= 1
 
 
+def test_chunks_and_revisions_keep_every_byte(spark):
+    long_ = "本研究采用模型。\n系统较快，结果较好。  " + "这是一个很长的句子，包含很多内容。" * 200 + "\n\n[[KEEP:URL:0000]] 见 http://a.b/c 。\n- 第一\n  第二\n\n\n"
+    texts = [long_, "", "\n\n", "# 题\n\n甲。乙？ 丙！\n丁\n\n```\n代码。\n```\n| a | b |\n", " 首行。\n\t缩进。", "说明如下：\n\n图 1 流程", "a\r\nb。\r\n"]
+    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    p = guide.parts(docs).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("block_id", "part", F.concat("before", "text").alias("x")))).alias("p"))
+    assert sorted(r.t for r in p.select(F.array_join("p.x", "").alias("t")).collect()) == sorted(texts)
+    out = api.revise(docs).collect()
+    # shared ids stay apart, and what no rule touches is as it was
+    assert sorted(r.original for r in out) == sorted(texts) and sum(r.original == r.revised for r in out) >= 6
+    assert [r for r in out if r.original.startswith(" 首行")][0].revised == " 首行。\n\t缩进。"
+
+
+def test_masking_leaves_literal_tokens(spark):
+    from foliospark.operators import mask
+
+    text = "见 [[KEEP:URL:0000]] 与 http://a.b/c 和 [[KEEP:LITERAL:0000]]"
+    m = mask.mask_text(text)
+    assert mask.unmask(m["text"], {k["token"]: k for k in m["kept"]}) == text
+    assert one(spark, text, lambda t: mask.restore(mask.mask(t)["text"], mask.mask(t)["kept"]).alias("b")).b == text
+
+
+def test_cut_by_suffix():
+    from foliospark.operators import cut
+
+    text = "- 项。\n正文一。\n\n正文二。"
+    assert [(x[2], x[5]) for x in cut.cut_text(text, ".txt") if x[2] != "blank"] == [("paragraph", "- 项。\n正文一。"), ("paragraph", "正文二。")]
+    assert [x[2] for x in cut.cut_text(text, ".md")] == ["list", "paragraph", "blank", "paragraph"]
+    assert [x[3] for x in cut.cut_text("图 1 流程\n\n步骤如下：\n\nThis is an English block here.\n\n正文。") if x[2] == "paragraph"] == [False, False, False, True]
+    with pytest.raises(ValueError):
+        cut.cut_text(text, ".doc")
+
+
+def test_rewriter_memory():
+    from foliospark.operators import paragraph as G
+
+    memory = G.Memory()
+    said = [G.rewrite_paragraph("样本较少。因此，本研究完成了验证。", memory)["text"] for _ in range(4)]
+    assert said[0] != said[1], "the same way is not taken twice"
+    a = [G.rewrite_paragraph(t, m)["text"] for m in (G.Memory(), G.Memory()) for t in ("本研究聚焦于图像检测。本研究提出了新方法。", "同时，流程更快。样本较少。")]
+    assert a[:2] == a[2:], "nothing is random"
+    assert G.rewrite_paragraph("", G.Memory())["text"] == "" and G.rewrite_paragraph("甲", G.Memory())["coverage"] == 0.0
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("# 标题\n\n本研究采用模型。\n", encoding="utf-8")

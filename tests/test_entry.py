@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 from foliospark import catalog
 
 SF = "/root/testdata/sf0.001"
+QUERIES = {k: v for c in entry.CATALOGS for k, v in c.QUERIES.items()}
+ORACLE_SQL = {k: v for c in entry.CATALOGS for k, v in c.ORACLE_SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
@@ -26,14 +28,14 @@ def rows(table):
     return names, sorted(map(repr, zip(*[table.column(n).to_pylist() for n in names], strict=True)))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, duck, name):
-    assert rows(catalog.QUERIES[name](spark, SF).toArrow()) == rows(duck.sql(catalog.ORACLE_SQL[name]).to_arrow_table())
+    assert rows(QUERIES[name](spark, SF).toArrow()) == rows(duck.sql(ORACLE_SQL[name]).to_arrow_table())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
