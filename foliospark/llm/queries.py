@@ -131,6 +131,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP7_SQL = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+x as (select doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) as g from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as n from x) where n > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from r),
+k as (select u.doc_id, u.p, u.word from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d) u left join gone on gone.doc_id = u.doc_id and gone.p = u.p where gone.p is null),
+t as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as kept from k group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join t using (doc_id)
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_fold(F.col("doc_id"), 5) == 0
@@ -181,5 +192,6 @@ ORACLE_SQL = {
     "op1_url_filters": OP1_SQL,
     "op2_chat_formatting": OP2_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
+    "op7_substring_dedup": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
