@@ -1,4 +1,4 @@
-"""Command line: guide, suggest, run and review over a folder of documents."""
+"""Command line: guide, suggest, run, rewrite, review and write over a folder of documents."""
 
 from __future__ import annotations
 
@@ -14,14 +14,14 @@ from .sources import files
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="foliospark")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, text in (("guide", "risk and protected spans of every document"), ("suggest", "facts that paragraphs could name"), ("run", "rewrite, review and write"), ("review", "review revised files against originals")):
+    for name, text in (("guide", "risk and protected spans of every document"), ("suggest", "facts that paragraphs could name"), ("run", "rewrite, review and write"), ("rewrite", "rewrite paragraph by paragraph, in the preset's passes"), ("review", "review revised files against originals"), ("write", "review revised files and write those that may be")):
         s = sub.add_parser(name, help=text)
         s.add_argument("path")
-        if name in ("run", "review"):
+        if name in ("run", "rewrite", "review", "write"):
             s.add_argument("--out")
-        if name == "run":
+        if name in ("run", "rewrite"):
             s.add_argument("--preset", choices=list(config.PRESETS), default="academic_natural")
-        if name == "review":
+        if name in ("review", "write"):
             s.add_argument("revised")
     return p
 
@@ -36,8 +36,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "suggest":
         api.suggestions(docs).show(50, False)
         return 0
+    if args.command == "write" and not args.out:
+        raise SystemExit("write needs --out")
     if args.command == "run":
         out = api.revise(docs, args.preset)
+    elif args.command == "rewrite":
+        out = api.rewrite_documents(docs, args.preset)
     else:
         name = F.regexp_extract("doc_id", r"([^/]+)$", 1)
         a = docs.select(name.alias("name"), F.col("text").alias("original"))

@@ -220,6 +220,60 @@ def test_rewriter_memory():
     assert G.rewrite_paragraph("", G.Memory())["text"] == "" and G.rewrite_paragraph("甲", G.Memory())["coverage"] == 0.0
 
 
+def _docx(*paragraphs: str) -> bytes:
+    import io
+    import zipfile
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f'<w:p>{"<w:pPr><w:pStyle w:val=" + chr(34) + "Heading1" + chr(34) + "/></w:pPr>" if i == 0 else ""}<w:r><w:t>{p}</w:t></w:r></w:p>' for i, p in enumerate(paragraphs))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
+    return out.getvalue()
+
+
+def test_inputs_are_normalised(spark, tmp_path):
+    from foliospark.sources import convert
+
+    (tmp_path / "a.docx").write_bytes(_docx("题", "正文。"))
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    (tmp_path / "c.txt").write_text("  文字。\n\n", encoding="utf-8")
+    (tmp_path / "d.md").write_text("# 题\n", encoding="utf-8")
+    (tmp_path / "e.doc").write_bytes(b"old")
+    got = {r.path.rsplit("/", 1)[1]: r for r in convert.read_inputs(spark, str(tmp_path), lambda raw, kind: raw.decode() + kind).collect()}
+    assert got["a.docx"].text == "# 题\n\n正文。\n\n| a |\n|---|\n" and got["a.docx"].report.converter_used == "docx_reader"
+    assert got["b.docx"].text is None and not got["b.docx"].report.success and "normalisation failed" in got["b.docx"].report.error
+    assert got["c.txt"].text == "文字。\n" and got["d.md"].text == "# 题\n" and len(got["d.md"].report) == 11
+    assert got["e.doc"].text == "old.doc" and got["e.doc"].report.external_used
+    assert convert._one(b"x", ".doc", convert.by_command)[3] is not None or convert.converter_path()
+    convert.write_texts(spark.createDataFrame([("x y", "一\n二")], "name string, text string"), str(tmp_path / "out"))
+    assert [p.read_text(encoding="utf-8").rstrip("\x00") for p in (tmp_path / "out" / "name=x_y").glob("part-*")] == ["一\n二"]
+
+
+def test_table_functions(spark):
+    from foliospark.functions import tables
+
+    tables.register(spark)
+    assert [tuple(r) for r in spark.sql("select * from split_sentences('甲（乙。丙）。丁')").collect()] == [(1, "甲（乙。丙）。"), (2, "丁")]
+    spans = {(r.kind, r.value) for r in spark.sql("select * from extract_spans('见[1]与 http://a.b')").collect()}
+    assert ("CORE_CITATION", "[1]") in spans and ("URL", "http://a.b") in spans
+
+
+def test_rewrite_documents(spark):
+    docs = spark.createDataFrame([("a", "# 题\n\n本研究聚焦于图像检测。本研究提出了新方法。\n\n```\n代码\n```\n"), ("b", "| a | b |\n")], "doc_id string, text string")
+    out = {r.doc_id: r for r in api.rewrite_documents(docs).collect()}
+    assert out["b"].revised == "| a | b |\n" and out["a"].original == docs.where("doc_id = 'a'").first().text
+    assert out["a"].revised.startswith("# 题\n\n") and out["a"].revised.endswith("\n\n```\n代码\n```\n") and out["a"].revised != out["a"].original
+
+    def shout(text, memory, mode, round_, depth, intensity):
+        return {"text": text + "！", "rules": [], "patterns": [], "structural": [], "discourse": [], "revision_patterns": [], "marks": [], "sentence_changes": 1, "cluster_changes": 0, "discourse_score": 0, "coverage": 1.0}
+
+    assert "新方法。！" in {r.doc_id: r for r in api.rewrite_documents(docs, "body_only", shout).collect()}["a"].revised
+    assert len(api.doctrine("zh_academic_l2_mild")) > len(api.doctrine()) > 3
+    with pytest.raises(ValueError):
+        api.doctrine("chatty")
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("# 标题\n\n本研究采用模型。\n", encoding="utf-8")
