@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import families
-from ..functions.readability import technical
+from ..functions.readability import per_sentence, technical
 from ..functions.text import ensure_end, has, let, strip
 from . import paragraph as G
 
@@ -40,6 +40,17 @@ RECASTS = (
 )
 SUMMARY_LEAD, SUMMARY = r"^(?:总体而言|总体来看|整体来看|综合来看|从整体上看|总的来说|综上)[，,\s]*", r"完整闭环|提供基础|支撑|总结|实现|完成|价值|意义"
 VISIBLE_TERMS = r"[A-Z]{2,}[A-Za-z0-9_-]*|[A-Za-z]+_[A-Za-z0-9_]+|[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}|[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9_-]*|[A-Za-z]+[0-9]+[A-Za-z0-9_-]*"
+RESHAPED = (
+    (r"^(该设计|这种设计|该方法|这种方法|该系统|系统)一方面(.+?)，另一方面(?:也)?(.+?)[。！？?!]?$", r"\1既\2，也\3", 10_000), (r"^(该设计|这种设计|该方法|这种方法)能够(.+?)[。！？?!]?$", r"\1主要\2", 10_000),
+    (r"^(该系统|系统)能够(.+?)[。！？?!]?$", r"\1主要\2", 80),
+)
+FINISHED_SUPPORT = r"^(?P<body>.+?)，?从而为(?P<object>.+?)提供(?:了)?(?:重要)?(?:基础|支撑|保障)[。！？?!]?$"
+FINISHED_VALUE = r"^(?P<body>.+?)具有(?:重要)?(?P<kind>意义|价值)[。！？?!]?$"
+TAXONOMY, TAXONOMY_CLAIM = r"^[A-Za-z][A-Za-z0-9_-]*(?:尤其是|特别是).{2,60}$", r"^在.+?(?:方面|上).{0,12}(?:具有|具备|表现出|更适合)"
+STEPS = r"^(?P<prefix>.+?)(?:，)?第一，(?P<first>.+?)(?:，进而|，)?第二，(?P<second>.+)$"
+SUBJECTS = ("本研究", "本文", "该系统", "系统", "该模型", "模型", "该方法", "该机制", "该设计", "研究")
+FRAGMENT_LEAD = r"^(?:并进一步|并且进一步|并|因此|由此|同时|此外|在这种情况下|相应地|其中|从而|进而|以及)[，,\s]*(?P<body>.+)$"
+OTHER_SUBJECTS = {"本研究": ("该方法", "该机制", "系统", "模型", "该策略"), "研究": ("该方法", "系统", "该策略"), "系统": ("该系统", "模型", "该机制"), "模型": ("该模型", "该机制", "系统")}
 GRAMMAR = r"本研究研究|研究研究|是了|可以用于了|被是用来|，，|。。|的的|了了|进行进行"
 #: fitting a target: (most replacements, pairs)
 FITTING = {
@@ -259,6 +270,163 @@ def coverage_repair(source: pd.Series, revised: pd.Series) -> pd.Series:
     return pd.Series([covered(list(a), list(b)) for a, b in zip(source, revised, strict=True)], dtype=object)
 
 
+def reshaped(s: str) -> str:
+    """A support sentence in a plainer shape; technical ones stay."""
+    t = s.strip()
+    if not G.technical(t):
+        for pattern, new, most in RESHAPED:
+            if (m := re.match(pattern, t)) and len(t) <= most:
+                return G.ended(m.expand(new))
+    return s
+
+
+def unfinished(s: str, last: bool = False) -> str:
+    """A sentence that closes too roundly in the middle of a paragraph closes more plainly."""
+    t = s.strip()
+    if not last and not G.technical(t):
+        if m := re.match(FINISHED_SUPPORT, t):
+            return G.ended(f"{m['body'].strip('，, ')}，也使{m['object'].strip()}更容易展开")
+        if (m := re.match(FINISHED_VALUE, t)) and len(t) <= 90:
+            return G.ended(f"{m['body'].strip()}的{m['kind']}也体现在这里")
+    return s
+
+
+def supplement_merged(sentences: list[str]) -> list[str]:
+    """The first short sentence that points back goes into the one before it."""
+    for i in range(1, len(sentences) if len(sentences) >= 3 else 0):
+        a, b = sentences[i - 1], sentences[i]
+        if len(G.same_key(b)) <= 34 and not G.technical(a) and not G.technical(b) and re.match(r"^(?:这|该|这一|其|这种|上述)", G.core(b)):
+            return [*sentences[: i - 1], G.ended(f"{G.core(a)}，{G.core(b)}"), *sentences[i + 1 :]]
+    return sentences
+
+
+def flowing(sentences: list[str]) -> list[str]:
+    """Fragments of a taxonomy join their claim, numbered steps in one sentence part, captions read as sentences, summaries are said once."""
+    out: list[str] = []
+    rest = list(sentences)
+    while rest:
+        s = rest.pop(0)
+        if out and rest and re.match(TAXONOMY, G.core(s)) and re.match(TAXONOMY_CLAIM, rest[0].strip()) and not G.technical(s) and not G.technical(rest[0]):
+            s = G.ended(f"{G.core(s)}，{G.core(rest.pop(0))}")
+        m = re.match(STEPS, s.strip())
+        if m and not G.technical(s):
+            first, second, lead = (G.core(m[k].strip("，, ")) for k in ("first", "second", "prefix"))
+            if first and second:
+                out += [G.ended(f"{lead}，第一，{first}"), G.ended(f"第二，{second}")]
+                continue
+        m = re.match(rf"^该段论述(?P<body>.+\[\[KEEP:CORE_CAPTION:\d{{4,}}\]\])$", G.core(s))
+        out.append(G.ended("图示部分对应" + m["body"].strip("，, ")) if m else s)
+    return without_summaries(out)
+
+
+def subject_of(*sources: str) -> str:
+    """The subject that one of the sentences names near its beginning."""
+    for s in sources:
+        for word in SUBJECTS:
+            if word in s.strip()[:24]:
+                return "本研究" if word == "研究" else word
+    return "本研究"
+
+
+def completed(s: str, source: str, before: str) -> str:
+    """A fragment with the smallest head that makes it a sentence."""
+    t, subject = s.strip(), subject_of(before, source)
+    if m := re.match(FRAGMENT_LEAD, t):
+        body = m["body"].strip("，, ")
+        plain = body.startswith(("提出", "形成", "实现", "说明", "表明", "完成", "用于", "支持", "强调")) or re.match("^(?:是|为|有|具有|能够|可以|需要)", body)
+        return G.ended(subject + body if plain else f"{subject}进一步{body.lstrip('进一步')}")
+    if re.match(r"^是比.+更.+$", t):
+        return G.ended(subject + t)
+    if t.startswith("而是"):
+        return G.ended(f"{subject}更强调{t[2:].strip('，, ')}")
+    if m := re.match(r"^([A-Za-z][A-Za-z0-9_-]*)((?:尤其是|特别是).+)$", t):
+        return G.ended(f"其中，{m[1]}{G.core(m[2])}是该类方法的重要代表")
+    if re.match(r"^(?:强调|说明|体现|支持|展示|反映|用于|包括|包含|呈现|提供|形成|实现|使|让)", t):
+        return G.ended(subject + t)
+    if m := re.match(r"^(?:结合|根据|基于)(.{2,35}(?:结果|数据|分析|实验|评测|诊断))[。！？?!]?$", t):
+        return G.ended(f"{subject}还需要结合{' ' if m[1].startswith('[[') or re.match('[A-Z]{2,}', m[1].strip()) else ''}{m[1].strip()}")
+    if len(t) < 24 and not re.match(r"^(?:本研究|本文|该|这|系统|模型|方法|结果|实验|策略|问题)", t):
+        return G.ended(t if t.startswith("研究") else subject + t)
+    return s
+
+
+def readable(source: list[str], revised: list[str], source_bad: list[bool], revised_bad: list[bool]) -> list[str]:
+    """Sentences that hang or miss a part: the source's at the same place if it is whole and not said already, else completed; what is left over joins the one before."""
+    out: list[str] = []
+    for i, s in enumerate(revised):
+        before = out[-1] if out else ""
+        if revised_bad[i]:
+            own = source[i] if i < len(source) else ""
+            said = bool(own) and G.core(own) in G.core(before)
+            s = own if own and not source_bad[i] and not said else completed(s, "" if said else own, before)
+        out.append(s)
+    return out
+
+
+def subjects_compressed(sentences: list[str]) -> list[str]:
+    """A subject that the sentence before has as well is left out."""
+    out = sentences[:1]
+    for a, b in zip(sentences, sentences[1:], strict=False):
+        heads = [re.match(r"^(本研究|本文|研究|系统|模型)", x.strip()) for x in (out[-1] if out[-1] != a else a, b)]
+        if heads[0] and heads[1] and heads[0][1] == heads[1][1]:
+            new = re.sub(r"^(?:系统|模型)[，,\s]*", "同时，", re.sub(r"^(?:本研究|本文|研究)[，,\s]*", "", b.strip(), count=1), count=1)
+            b = G.ended(new) if new else b
+        out.append(b)
+    return out
+
+
+def subjects_varied(sentences: list[str]) -> list[str]:
+    """From the third of a run on, a repeated subject gets another name, in turn."""
+    out, head, run = list(sentences), "", 0
+    for i, s in enumerate(sentences if len(sentences) >= 3 else ()):
+        m = re.match(r"^(本研究|研究|系统|模型)", s.strip())
+        own = m[1] if m else ""
+        run = run + 1 if own and own == head else 1
+        head = own
+        if own and run >= 3:
+            names = OTHER_SUBJECTS[own]
+            out[i] = G.ended(names[(run - 3) % len(names)] + s.strip()[len(own) :])
+    return out
+
+
+def opening_kept(source: list[str], revised: list[str]) -> list[str]:
+    """The topic sentence opens the paragraph: the revision's if it is valid and of the same subject, else a recast of the source's or itself; later sentences that repeat it go."""
+    if not source or not revised:
+        return revised
+    first, own = revised[0], source[0]
+    drifted = bool(re.match(r"^(?:本研究|本文|本章)", own.strip())) and (G.core(first).startswith(("围绕", "就", "对", "基于", "在此")) or "本文展开讨论" in first and not own.startswith("本文"))
+    if not G.locked_opening(own):
+        bare = re.sub(families.DANGLING_OPENING + r"[，,\s]*", "", first.strip())
+        return [G.ended(bare), *revised[1:]] if G.dangling_opening(first) and bare else revised
+    if G.valid_opening(first) and not drifted and G.similarity(own, first) >= 0.38:
+        return revised
+    recasts = [r for i in ("high", "medium") if (r := G.recast(own, i)) != own and G.valid_opening(r)]
+    safe = recasts[0] if recasts else G.ended(own)
+    marks = set(re.findall(rf"{G.TOKEN}|[A-Za-z][A-Za-z0-9_./-]{{2,}}", safe))
+    repeats = [G.similarity(own, s) >= 0.58 and set(re.findall(rf"{G.TOKEN}|[A-Za-z][A-Za-z0-9_./-]{{2,}}", s)) <= marks for s in revised]
+    return [safe, *[s for s, again in zip(revised, repeats, strict=True) if not again]]
+
+
+def _bad(sentences: Column) -> Column:
+    """Which sentences hang or miss a part."""
+    return F.transform(per_sentence(sentences), lambda r: r["dangling"] | r["support"] | r["conclusion"])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _readable(source: pd.Series, revised: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([readable(list(x), list(y), list(p), list(q)) for x, y, p, q in zip(source, revised, a, b, strict=True)], dtype=object)
+
+
+def readability_repair(source: Column, revised: Column) -> Column:
+    """Repaired sentences of a paragraph; which ones need it is decided in the JVM."""
+    return _readable(source, revised, _bad(source), _bad(revised))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def opening_repair(source: pd.Series, revised: pd.Series) -> pd.Series:
+    return pd.Series([opening_kept(list(a), list(b)) for a, b in zip(source, revised, strict=True)], dtype=object)
+
+
 # ---- target style
 def grammar_rate(sentences: Column) -> Column:
     """Share of sentences with a mark of broken grammar."""

@@ -69,13 +69,18 @@ NOMINALS = ((r"进行(评估|分析|验证|控制|处理)", "$1"), (r"实现(控
 SPLIT_MARKS = ("；同时，", "；", "，同时，", "，并且", "，从而", "，进而")
 
 
+def _some(patterns) -> str:
+    """One pattern that matches where any does: most sentences need no more than this test."""
+    return u("|".join(f"(?:{p})" for p in patterns))
+
+
 def _apply(sentence: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     def all_rules(t: Column) -> Column:
         for pattern, new in rules:
             t = F.regexp_replace(t, u(pattern), new)
         return t
 
-    return _changed(sentence, all_rules)
+    return F.when(strip(sentence).rlike(_some(p for p, _ in rules)), _changed(sentence, all_rules)).otherwise(sentence)
 
 
 def _changed(sentence: Column, f) -> Column:
@@ -103,7 +108,8 @@ def direct_opening(s: Column) -> Column:
         more = F.when(rest != "", F.concat(F.lit("，"), rest)).otherwise("")
         return F.when(t.rlike(topic), F.concat(F.lit("本文围绕“"), F.regexp_extract(t, topic, 1), F.lit("”展开"), more)).otherwise(t)
 
-    return _changed(s, lambda t: let(let(cut(t), needs), topics))
+    some = _some((*(p for p, _ in OPENINGS), need, topic))
+    return F.when(strip(s).rlike(some), _changed(s, lambda t: let(let(cut(t), needs), topics))).otherwise(s)
 
 
 def unwrap(s: Column) -> Column:

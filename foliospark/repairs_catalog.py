@@ -71,6 +71,35 @@ def q_repair_neighbours(spark, sf_dir):
     )
 
 
+@query(expected(
+    "t_reshaped, t_unfinished, t_completed",
+    "'系统既采集样本#，也完成标注。', '系统一方面采集样本#，另一方面也完成标注。', '系统一方面采集样本#，另一方面也完成标注。'", "'该方法主要降低误报#。', '该方法能够降低误报#。', '该方法能够降低误报#。'",
+    "'该流程统一#，从而为部署提供了重要基础。', '该流程统一#，也使部署更容易展开。', '该流程统一#，从而为部署提供了重要基础。'", "'该流程#具有重要意义。', '该流程#的意义也体现在这里。', '该流程#具有重要意义。'",
+    "'并形成流程#。', '并形成流程#。', '系统形成流程#。'", "'而是精度#。', '而是精度#。', '系统更强调精度#。'", "'根据NTIRE#结果。', '根据NTIRE#结果。', '系统还需要结合 NTIRE#结果。'",
+))
+def q_repair_shapes(spark, sf_dir):
+    rows = ("系统一方面采集样本#，另一方面也完成标注。", "该方法能够降低误报#。", "该流程统一#，从而为部署提供了重要基础。", "该流程#具有重要意义。", "并形成流程#。", "而是精度#。", "根据NTIRE#结果。")
+    s = F.replace(case(*rows), F.lit("#"), F.col("k").cast("string"))
+    run = [F.pandas_udf(lambda rows, f=f: rows.map(f), "string") for f in (repairs.reshaped, repairs.unfinished, lambda x: repairs.completed(x, "", "系统完成标注。"))]
+    return orders(spark, sf_dir).select("k", *[f(s).alias(n) for f, n in zip(run, ("t_reshaped", "t_unfinished", "t_completed"), strict=True)])
+
+
+@query(f"""select o_orderkey as k, '甲。|样本' || {K} || '较少，这一点需要说明。|乙。' as supplement, '系统包括两步' || {K} || '，第一，采集样本。|第二，完成标注。' as steps, '系统采集' || {K} || '。|同时，完成标注。|样本较少。' as compressed,
+ '模型一' || {K} || '。|模型二。|该模型三。|该机制四。' as varied, '本研究围绕流程' || {K} || '展开分析。|同时，样本较少。|案例较多。' as opening, '样本' || {K} || '较少。' as bare from orders""")
+def q_repair_paragraphs(spark, sf_dir):
+    k = F.col("k").cast("string")
+    supplement, flow, one, other = (repairs.on_sentences(f) for f in (repairs.supplement_merged, repairs.flowing, repairs.subjects_compressed, repairs.subjects_varied))
+    topic = said("本研究围绕流程", "#", "展开分析。")
+    return orders(spark, sf_dir).select(
+        "k", joined(supplement(F.array(F.lit("甲。"), said("样本", "#", "较少。"), F.lit("这一点需要说明。"), F.lit("乙。")))).alias("supplement"),
+        joined(flow(F.array(said("系统包括两步", "#", "，第一，采集样本，进而第二，完成标注。")))).alias("steps"),
+        joined(one(F.array(said("系统采集", "#", "。"), F.lit("系统完成标注。"), F.lit("样本较少。")))).alias("compressed"),
+        joined(other(F.array(said("模型一", "#", "。"), F.lit("模型二。"), F.lit("模型三。"), F.lit("模型四。")))).alias("varied"),
+        joined(repairs.opening_repair(F.array(topic, F.lit("样本较少。")), F.array(F.lit("同时，样本较少。"), F.lit("案例较多。")))).alias("opening"),
+        joined(repairs.opening_repair(F.array(F.concat(F.lit("样本"), k, F.lit("很少。"))), F.array(F.concat(F.lit("此外，样本"), k, F.lit("较少。"))))).alias("bare"),
+    )
+
+
 @query(f"""select o_orderkey as k, case o_orderkey % 4 when 0 then '源' when 1 then '源' when 2 then '占 5%。' else '样本' || {K} || '。' end as kept from orders""")
 def q_block_surface(spark, sf_dir):
     """A block that adds background, a first person or a percentage goes back to its source."""
@@ -229,6 +258,15 @@ def q_lossless_chunks(spark, sf_dir):
     return parts.groupBy("_row", "doc_id").agg(whole.alias("p")).select("doc_id", F.array_join(F.col("p.x"), "").alias("rebuilt"))
 
 
+@query(None)
+def q_repair_readability(spark, sf_dir):
+    """Paragraphs of the revision corpus with their hanging sentences repaired from the source."""
+    from . import corpus
+
+    df = corpus.blocks(spark, sf_dir).select("block_key", sentences(F.col("text")).alias("a"), sentences(F.col("revised")).alias("b"))
+    return df.select("block_key", joined(repairs.readability_repair(F.col("a"), F.col("b"))).alias("repaired"))
+
+
 @query(None)
 def q_guide_actions(spark, sf_dir):
     """Guidance of the revision corpus: sensitivity, what the chapter makes of each block, and what is recommended."""
