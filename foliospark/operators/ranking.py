@@ -86,3 +86,73 @@ def worst_classes(rows: DataFrame, keep: int = 3, id_col: str = "doc_id") -> Dat
     """The classes with the lowest match (then the most paragraphs, then by name) of each document."""
     w = Window.partitionBy(id_col).orderBy("match", F.desc("paragraphs"), "class")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
+
+
+# The parts of a candidate's score, most important first. Without a mark: whole numbers and flags;
+# % hundredths of a share; - counts against (hundredths, or times the factor after *).
+PARTS = (
+    "write_allowed decision chapter_rewrite_quota_check rewrite_quota_met chapter_policy_consistency_check %evidence_fidelity %semantic_role %target_alignment %class_style_match %style_match -evidence_drift*15 "
+    "-terminology_drift*10 -grammar_error_rate %readability %thesis_tone %directness %l2_texture -native_like -l2_colloquial -l2_ungrammatical -connector -subject_monotony -overlong -avg_sentence_length_diff*2 "
+    "-clause_diff*20 -main_clause_diff -function_word_diff -helper_verb_diff -explanatory_gap -compactness_gap -native_gap -l2_gap -bureaucratic -repeated_subject -overstructured -delayed_clause -slogan -nominalization "
+    "-passive -unsupported -metaphor -authorial_claim %assertion_strength %authorial_stance -appendix %completeness %enumeration paragraph_readability_preserved sentence_completeness_preserved "
+    "semantic_role_integrity_preserved enumeration_integrity_preserved assertion_strength_preserved appendix_like_support_controlled authorial_stance_present evidence_fidelity_preserved "
+    "unsupported_expansion_controlled thesis_tone_restrained metaphor_or_storytelling_controlled authorial_claim_risk_controlled bureaucratic_opening_controlled explicit_subject_chain_controlled "
+    "overstructured_syntax_controlled main_clause_position_reasonable slogan_like_goal_phrase_controlled scaffolding_phrase_density_controlled over_abstracted_subject_risk_controlled -dangling -incomplete_support "
+    "-fragment_conclusion -scaffolding -abstract_subject -stylistic_uniformity %texture_variation %voice_variation -cliche stylistic_uniformity_controlled support_sentence_texture_varied "
+    "paragraph_voice_variation_present academic_cliche_density_controlled -transition_rigidity %realism local_transition_natural local_discourse_not_flat sentence_uniformity_reduced revision_realism_present "
+    "%body_coverage body_discourse body_cluster body_changed_blocks -template_penalty*1 effective_change subjects_varied structural_actions -problems*1 changed_characters"
+).split()
+#: what makes a further pass worth while when it does not hold
+RETRIED = (
+    "body_coverage_met", "body_discourse_met", "body_cluster_met", "rewrite_quota_met", "chapter_rewrite_quota_check", "no_failed_blocks", "revision_realism_present", "sentence_completeness_preserved",
+    "paragraph_readability_preserved", "stylistic_uniformity_controlled", "support_sentence_texture_varied", "paragraph_voice_variation_present", "academic_cliche_density_controlled", "semantic_role_integrity_preserved",
+    "enumeration_integrity_preserved", "scaffolding_phrase_density_controlled", "over_abstracted_subject_risk_controlled", "assertion_strength_preserved", "appendix_like_support_controlled", "authorial_stance_present",
+    "evidence_fidelity_preserved", "unsupported_expansion_controlled", "thesis_tone_restrained", "metaphor_or_storytelling_controlled", "authorial_claim_risk_controlled", "bureaucratic_opening_controlled",
+    "explicit_subject_chain_controlled", "overstructured_syntax_controlled", "main_clause_position_reasonable", "slogan_like_goal_phrase_controlled", "author_style_alignment_controlled",
+)
+
+
+def candidate_score(values: dict[str, Column]) -> Column:
+    """The score as one ordered struct of whole numbers; decision: 2 passes, 1 with minor risk, 0 rejected; what is not given counts as nothing."""
+    def part(p: str) -> Column:
+        name, _, factor = p.lstrip("%-").partition("*")
+        if name not in values:
+            return F.lit(0)
+        value = values[name].cast("double")
+        scaled = value * (float(factor) if factor else 100.0 if p[0] in "%-" else 1.0)
+        # a hundredth more or less of a share is not the sum's doing
+        whole = F.floor(scaled + F.lit(1e-9)).cast("long")
+        return -whole if p[0] == "-" else whole
+
+    return F.struct(*[part(p).alias(p.lstrip("%-").partition("*")[0]) for p in PARTS])
+
+
+def score_text(label: Column, values: dict[str, Column]) -> Column:
+    """label:name=value,... for people."""
+    return F.concat(label, F.lit(":"), F.concat_ws(",", *[F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("-"))) for k, v in values.items()]))
+
+
+def needs_retry(mode: str, holds: dict[str, Column]) -> Column:
+    """Whether another pass is worth while: something of the list does not hold, and the mode is not conservative."""
+    out = F.lit(False)
+    for name in RETRIED if mode != "conservative" else ():
+        if name in holds:
+            out = out | ~holds[name]
+    return out
+
+
+def escalated(policy: Column, depth: Column, priority: Column, intensity: Column, structural: Column, discourse: Column, min_sentence: Column, min_cluster: Column, mode: str = "balanced") -> Column:
+    """struct of what a further pass asks of a block: more of developmental ones, one sentence of light ones, little of conservative chapters."""
+    def arr(*names: str) -> Column:
+        return F.array(*map(F.lit, names))
+
+    on = policy.isin("light_edit", "rewritable")
+    careful, dev = on & (priority == "conservative"), on & (priority != "conservative") & (depth == "developmental_rewrite")
+    light = on & ~careful & ~dev & (policy == "light_edit") & F.lit(mode != "conservative")
+    return F.struct(
+        F.when(careful, "light").when(dev & (priority == "medium"), "medium").when(dev, "high").when(light, "medium").otherwise(intensity).alias("intensity"),
+        F.when(careful, F.array_except(structural, arr("pair_fusion", "sentence_cluster_merge"))).when(dev, F.array_union(structural, arr("pair_fusion"))).otherwise(structural).alias("structural"),
+        F.when(careful | light, F.array_union(discourse, arr("sentence_level_recast"))).when(dev, F.array_union(discourse, arr("sentence_cluster_rewrite", "proposition_reorder", "transition_absorption"))).otherwise(discourse).alias("discourse"),
+        F.when(dev, F.greatest(min_sentence, F.lit(2))).when(careful | light, F.greatest(min_sentence, F.lit(1))).otherwise(min_sentence).alias("min_sentence_changes"),
+        F.when(careful, 0).when(dev & (priority != "medium"), F.greatest(min_cluster, F.lit(1))).otherwise(min_cluster).alias("min_cluster_changes"),
+    )

@@ -188,3 +188,35 @@ def q_write_gate_paths(spark, sf_dir):
         problems=F.when(i == 2, F.array(F.lit("title_integrity_check_failed"))).otherwise(none), long_document=i.isin(1, 3, 5), quota=some("quota_x"), chapters=some("chapter_1_x"), blocks=F.array(F.lit("block_9")),
     )
     return orders(spark, sf_dir).select("k", out.alias("g")).select("k", F.array_join("g.reason_codes", ",").alias("codes"), "g.write_allowed", "g.decision")
+
+
+@query("""with c as (select o_custkey as doc_id, o_orderkey as ordinal, o_orderkey % 2 as allowed, o_orderkey % 3 as decision, (o_orderkey % 7) * 10 as fidelity, o_orderkey % 4 as drift, (o_orderkey % 9) * 10 as clich, o_orderkey % 100 as changed from orders)
+select doc_id, ordinal, 'pass ' || ordinal || ':fidelity=' || cast(fidelity / 100 as double) || ',drift=' || drift as said from c
+qualify row_number() over (partition by doc_id order by allowed desc, decision desc, fidelity desc, drift, clich, changed desc, ordinal) = 1""")
+def q_candidate_score(spark, sf_dir):
+    """The best candidate of a document by the long score: a customer's orders are its candidates."""
+    from .operators import ranking
+
+    k = F.col("ordinal")
+    values = {"write_allowed": k % 2, "decision": k % 3, "evidence_fidelity": (k % 7) / F.lit(10.0), "evidence_drift": k % 4, "cliche": (k % 9) / F.lit(10.0), "changed_characters": k % 100}
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ordinal"))
+    df = df.withColumns({"score": ranking.candidate_score(values), "write_allowed": k % 2 == 1, "said": ranking.score_text(F.concat(F.lit("pass "), k.cast("string")), {"fidelity": values["evidence_fidelity"], "drift": values["evidence_drift"]})})
+    return ranking.select(df, "doc_id", "score", "ordinal").select("doc_id", "ordinal", "said")
+
+
+@query(f"""with c as (select o_orderkey as k, case when {sql_bit(0)} then 'light_edit' when {sql_bit(1)} then 'rewritable' else 'high_risk' end as pol, ['high', 'medium', 'conservative'][o_orderkey % 3 + 1] as pri, not {sql_bit(2)} or not {sql_bit(3)} as again from orders),
+d as (select *, pol <> 'high_risk' and pri = 'conservative' as careful, pol = 'rewritable' and pri <> 'conservative' as dev, pol = 'light_edit' and pri <> 'conservative' as light from c)
+select k, case when careful then 'light' when dev and pri = 'medium' then 'medium' when dev then 'high' when light then 'medium' else 'x' end as intensity, case when careful then '' when dev then 'sentence_cluster_merge,pair_fusion' else 'sentence_cluster_merge' end as structural,
+ case when careful or light then 'sentence_level_recast' when dev then 'sentence_cluster_rewrite,proposition_reorder,transition_absorption' else '' end as discourse, case when dev then 2 when careful or light then 1 else 0 end as min_sentence_changes,
+ case when dev and pri <> 'medium' then 1 else 0 end as min_cluster_changes, again as retry, false as retry_conservative from d""")
+def q_retry_escalation(spark, sf_dir):
+    from .operators import ranking
+
+    policy = F.when(bit(0), "light_edit").when(bit(1), "rewritable").otherwise("high_risk")
+    depth = F.when(bit(0), "light_edit").when(bit(1), "developmental_rewrite").otherwise("high_risk")
+    priority = F.element_at(F.array(*map(F.lit, ("high", "medium", "conservative"))), (F.col("k") % 3 + 1).cast("int"))
+    out = ranking.escalated(policy, depth, priority, F.lit("x"), F.array(F.lit("sentence_cluster_merge")), F.array().cast("array<string>"), F.lit(0), F.lit(0))
+    holds = {"rewrite_quota_met": bit(2), "revision_realism_present": bit(3), "unknown": F.lit(False)}
+    return orders(spark, sf_dir).select("k", out.alias("o"), ranking.needs_retry("balanced", holds).alias("retry"), ranking.needs_retry("conservative", holds).alias("retry_conservative")).select(
+        "k", "o.intensity", F.array_join("o.structural", ",").alias("structural"), F.array_join("o.discourse", ",").alias("discourse"), "o.min_sentence_changes", "o.min_cluster_changes", "retry", "retry_conservative"
+    )
