@@ -220,3 +220,44 @@ def q_retry_escalation(spark, sf_dir):
     return orders(spark, sf_dir).select("k", out.alias("o"), ranking.needs_retry("balanced", holds).alias("retry"), ranking.needs_retry("conservative", holds).alias("retry_conservative")).select(
         "k", "o.intensity", F.array_join("o.structural", ",").alias("structural"), F.array_join("o.discourse", ",").alias("discourse"), "o.min_sentence_changes", "o.min_cluster_changes", "retry", "retry_conservative"
     )
+
+
+_EVIDENCE = (("样本较少。", "样本较少。"), ("样本较少。", "普遍认为样本较少。"), ("样本较少。", "如同一场手术，样本较少。"), ("本研究提出方案。模型通过融合输出特征。", "本研究提出方案。模型通过融合输出特征。"), ("", "样本较少。"), ("普遍认为样本较少。", "普遍认为样本较少。"))
+
+
+@query(expected(
+    "fidelity, unsupported, register, metaphor, claim, drift", "0.94e0, 0.0e0, 0.78e0, 0.0e0, 0.0e0, false", "0.32e0, 1.0e0, 0.32e0, 0.0e0, 1.0e0, true", "0.82e0, 0.0e0, 0.63e0, 0.5e0, 0.0e0, false",
+    "0.94e0, 0.0e0, 0.94e0, 0.0e0, 0.0e0, false", "0.88e0, 0.0e0, 0.78e0, 0.0e0, 0.0e0, false", "0.94e0, 0.0e0, 0.78e0, 0.0e0, 0.0e0, false",
+))
+def q_evidence_cases(spark, sf_dir):
+    """Nothing added; outside opinion (which is a claim too); a comparison; academic register; no source; an opinion that the source has."""
+    from .functions import signals
+
+    a, b = (sentences(case(*(p[i] for p in _EVIDENCE))) for i in (0, 1))
+    return orders(spark, sf_dir).select("k", signals.evidence(a, b).alias("e")).select("k", "e.*")
+
+
+@query(expected(
+    "sentences, avg_length, clauses, native, match", "1, 5.0e0, 0.0e0, 0.45e0, 0.9119e0", "1, 12.0e0, 1.0e0, 0.45e0, 1.0e0", "2, 9.5e0, 0.0e0, 0.45e0, 0.9226e0",
+))
+def q_style_cases(spark, sf_dir):
+    """Distributions of three texts, and how they match that of the second."""
+    from .functions import families
+
+    own, other = families.distribution(sentences(case("样本较少。", "如同一场手术，样本较少。", "本研究提出方案。模型通过融合输出特征。"))), families.distribution(sentences(F.lit("如同一场手术，样本较少。")))
+    return orders(spark, sf_dir).select("k", own.alias("d"), families.style_match(own, other).alias("match")).select("k", "d.sentences", "d.avg_length", "d.clauses", "d.native", "match")
+
+
+@query("""select o_orderkey as k, case o_orderkey % 3 when 0 then '见 http://a.b/' || o_orderkey || ' 与 [[KEEP:URL:0000]] 和 `码`。' when 1 then '# 题 ' || o_orderkey || chr(10) || chr(10) || '准确率 93.5%[3][4]，见 checkpoints/run.pth。' else 'A plain English paragraph of order ' || o_orderkey || '.' end as restored,
+  o_orderkey % 3 = 2 as whole from orders""")
+def q_mask_restored(spark, sf_dir):
+    """Texts with links, code, headings, numbers, citations, paths, English and what looks like a token, after masking and restoring."""
+    from .operators import mask
+
+    k = F.col("k").cast("string")
+    text = (
+        F.when(F.col("k") % 3 == 0, F.concat(F.lit("见 http://a.b/"), k, F.lit(" 与 [[KEEP:URL:0000]] 和 `码`。")))
+        .when(F.col("k") % 3 == 1, F.concat(F.lit("# 题 "), k, F.lit("\n\n准确率 93.5%[3][4]，见 checkpoints/run.pth。"))).otherwise(F.concat(F.lit("A plain English paragraph of order "), k, F.lit(".")))
+    )
+    df = orders(spark, sf_dir).select("k", mask.mask(text).alias("m"))
+    return df.select("k", mask.restore(F.col("m.text"), F.col("m.kept")).alias("restored"), F.col("m.text").rlike(r"^\[\[KEEP:CORE_ENGLISH:0000\]\]$").alias("whole"))
