@@ -193,6 +193,8 @@ def test_toxicity_against_brute_force(spark):
         rows.append((i, " ".join(w), int(i % 3 == 0)))
     frame_ = frame(spark, rows, "id long, text string, toxic int").withColumn("part", F.lit(0))
     table, constant = toxicity.gains(toxicity.count(frame_), *toxicity.PARTS[0])
+    hashed = toxicity.gains(toxicity.count(frame_, 0), *toxicity.PARTS[0])
+    assert hashed[1] == constant and sorted(map(str, hashed[0].collect())) == sorted(map(str, table.collect()))
     prob, words, free = brute_models(rows)
     # both are distributions, but for the share of words never seen
     for c in (0, 1):
