@@ -17,7 +17,8 @@ running it.
 Characters without a piece become bytes (byte fallback).  A literal U+2581 in
 a text is written as bytes as well, so that decode(encode(text)) is the text
 for every text (the library turns it into a space).  Empty and null texts have
-no ids.  No limit on the length of texts or units.
+no ids.  No limit on the length of texts or units.  Rows that repeat an id, or
+have none, each get their own ids; an empty table gives no rows.
 """
 
 from __future__ import annotations
