@@ -102,10 +102,11 @@ def per_sentence(sentences: Column) -> Column:
     n = F.size(sentences)
 
     def one(s: Column, i: Column) -> Column:
-        role = role_at(i, n)
-        return let(facts(s), lambda v: F.struct(
-            v["f"]["s"].alias("sentence"), role.alias("role"), _score(v, role).alias("score"), v["dangling"].alias("dangling"),
-            _support(v, role).alias("support"), _conclusion(v, i == n - 1).alias("conclusion"),
+        # role and place go along with the facts: a lambda within another that reads the other's variable can't be an argument of a Python function
+        asked = F.struct(facts(s).alias("v"), role_at(i, n).alias("role"), (i == n - 1).alias("closing"))
+        return let(asked, lambda x: F.struct(
+            x["v"]["f"]["s"].alias("sentence"), x["role"].alias("role"), _score(x["v"], x["role"]).alias("score"), x["v"]["dangling"].alias("dangling"),
+            _support(x["v"], x["role"]).alias("support"), _conclusion(x["v"], x["closing"]).alias("conclusion"),
         ))
 
     return F.transform(sentences, one)
