@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import patterns as P
-from ..functions.text import english, find_all, has, squeeze, strip
+from ..functions.text import find_all, has, let, squeeze, strip
 from . import repairs
 from .cut import cut
 
@@ -24,16 +24,16 @@ CODE_FENCE = r"(?ms)^(```|~~~)[^\n]*\n.*?^\1[ \t]*$"
 
 
 def any_rlike(text: Column, patterns: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | has(text, p)
-    return out
+    """Whether one of the patterns (without flags of their own) is found, in one search."""
+    return has(text, "|".join(f"(?:{p})" for p in patterns))
 
 
 def body_line(line: Column) -> Column:
-    t = strip(line)
-    few = F.regexp_count(t, F.lit(P.CJK)) < 12
-    return (t != "") & ~any_rlike(t, NON_BODY) & ~(has(t, P.PATH) & few)
+    return let(strip(line), lambda t: (t != "") & ~any_rlike(t, NON_BODY) & ~(has(t, P.PATH) & (F.regexp_count(t, F.lit(P.CJK)) < 12)))
+
+
+def structural(text: Column) -> Column:
+    return let(strip(text), lambda t: any_rlike(t, STRUCTURAL))
 
 
 def body_text(text: Column) -> Column:
@@ -43,8 +43,8 @@ def body_text(text: Column) -> Column:
 
 def plain_paragraphs(text: Column) -> Column:
     """Runs of lines that are neither blank nor structural."""
-    marked = F.transform(F.split(text, "\n"), lambda x: F.when((strip(x) == "") | any_rlike(strip(x), STRUCTURAL), "").otherwise(x))
-    return F.filter(F.transform(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda p: F.regexp_replace(p, "^\n+|\n+$", "")), lambda p: strip(p) != "")
+    marked = F.transform(F.split(text, "\n"), lambda x: F.when(~has(x, r"\S") | structural(x), "").otherwise(x))
+    return F.filter(F.transform(F.split(F.array_join(marked, "\n"), "\n\n+"), lambda p: F.regexp_replace(p, "^\n+|\n+$", "")), lambda p: has(p, r"\S"))
 
 
 def alignment_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,9 +64,12 @@ def pair_blocks(blocks: DataFrame, revised: DataFrame, id_col: str = "doc_id") -
     blocks: (id, block_id, text) of body blocks; revised: (id, text), whole
     documents.  By position where as many body chunks come back, else where as
     many paragraphs do, else by the chunk of the same number, else unchanged.
+    Texts are dealt by id before they are cut, not their parts after it.
     """
+    revised = revised.select(id_col, "text").repartition(id_col)
     chunks = F.transform(F.filter(cut(F.col("text")), lambda p: p["kind"] != "blank"), lambda p: p["text"])
-    body = F.filter(F.col("_chunks"), lambda t: t.rlike(P.CJK) & ~any_rlike(strip(t), STRUCTURAL) & ~english(t))
+    # what holds Chinese is no English block
+    body = F.filter(F.col("_chunks"), lambda t: t.rlike(P.CJK) & ~structural(t))
     new = revised.select(id_col, F.col("text").alias("_r"), chunks.alias("_chunks")).select(id_col, "_chunks", body.alias("_body"), plain_paragraphs(F.col("_r")).alias("_plain"))
     w = Window.partitionBy(id_col)
     own = blocks.select(id_col, "block_id", F.col("text").alias("original"), F.row_number().over(w.orderBy("block_id")).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))

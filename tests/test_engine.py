@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from foliospark import api, config
 from foliospark.functions import families, readability, signals
 from foliospark.functions import text as T
-from foliospark.operators import blocks, changes, chapters, integrity, mask, ranking, repairs, rewrite, suggest
+from foliospark.operators import align, blocks, changes, chapters, integrity, mask, ranking, repairs, rewrite, suggest
 from foliospark.plans import guide, review
 from foliospark.sources import files
 from foliospark.streaming import ingest
@@ -75,6 +75,17 @@ def test_pack_keeps_everything():
         assert all(len(p) <= config.MAX_CHUNK_CHARS for p in parts)
 
 
+def test_block_pairs(spark):
+    """Long texts are dealt before they are cut, so that no single task cuts a whole file's."""
+    blocks_ = spark.createDataFrame([(1, 2, "甲。"), (1, 4, "乙。"), (2, 2, "甲。"), (3, 2, "甲。")], "doc_id long, block_id int, text string")
+    out = align.pair_blocks(blocks_, spark.createDataFrame([(1, "# 题\n\n" + "新甲。" * 400 + "\n\n- 项\n\n 新乙。"), (2, "\u3000# 题\nThe quick brown fox jumps.")], "doc_id long, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_COL")
+    assert {(r.doc_id, r.block_id): (r.revised.strip(), r.how) for r in out.collect()} == {
+        (1, 2): ("新甲。" * 400, "chunks"), (1, 4): ("新乙。", "chunks"), (2, 2): ("The quick brown fox jumps.", "paragraphs"), (3, 2): ("甲。", "kept"),
+    }
+
+
 def test_chapters(spark):
     df = spark.createDataFrame([(1, 1, "前言"), (1, 2, "# 研究背景"), (1, 3, "近年来"), (1, 4, "第二章 损失函数"), (1, 5, "正文")], "doc_id long, block_id int, text string")
     got = chapters.fill(df).orderBy("block_id").collect()
