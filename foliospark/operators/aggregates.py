@@ -173,8 +173,8 @@ def aggregate(paragraphs: DataFrame, family: Family, *keys: str, number: str = "
     means = [F.avg(F.when(on & enumerated[m], F.col(m)) if m in enumerated else F.when(on, F.col(m))).alias(m) for m in family.means]
     lists = [F.array_sort(F.collect_list(F.when(on & F.coalesce(test(), F.lit(False)), F.col(number)))).alias(name) for name, test in family.lists.items()]
     got = paragraphs.groupBy(*keys).agg(F.count_if(on).alias("paragraphs_checked"), *means, *lists)
-    # rounded before they are compared, so that the order of a sum decides nothing
-    got = got.withColumns({m: F.round(F.coalesce(F.col(m), F.lit(v)), 4) for m, v in family.means.items()})
+    # rounded before they are compared, by way of the product, as SQL engines do: at a tie (0.53875) the shortest decimal form, which F.round(x, 4) takes, says otherwise
+    got = got.withColumns({m: F.round(F.coalesce(F.col(m), F.lit(v)) * 10_000) / 10_000 for m, v in family.means.items()})
     row = Row({m: F.col(m) for m in family.means} | {f"#{name}": F.size(name) for name in family.lists} | {"n": F.col("paragraphs_checked")})
     holds = {name: (F.col("paragraphs_checked") == 0) | f(row) for name, f in family.holds.items()}
     return got.select(*keys, "paragraphs_checked", *family.means, *family.lists, *[c.alias(n) for n, c in holds.items()])
