@@ -367,6 +367,24 @@ def test_wavelet_ranks():
     assert m.rank(c, i).tolist() == [int((x[:k] == d).sum()) for d, k in zip(c, i, strict=True)]
 
 
+def test_copies_of_hot_segments_are_cut_once(spark, monkeypatch):
+    """A passage in changing surroundings, in 40 copies each: its windows are cut from one of them."""
+    monkeypatch.setattr(substring_dedup, "CAP", 3)
+    kept, materialise = {}, substring_dedup.materialise
+
+    def spy(df, name):
+        kept[name] = materialise(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(substring_dedup, "materialise", spy)
+    core = [f"c{i}" for i in range(30)]
+    rows = [(k * 10 + j, " ".join([*(f"a{j}x{i}" for i in range(25)), *core, *(f"b{j}x{i}" for i in range(25))])) for k in range(40) for j in range(8)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {i: 0 if i == 0 else 30 if i < 10 else 80 for i, _ in rows}
+    own = kept["hot-segments"]
+    assert own.count() and own.agg(F.min("times")).first()[0] == 40 and kept["windows"].count() == own.agg(F.sum("n")).first()[0]
+
+
 # ---- 8 languages
 def test_forward_sums_all_segmentations():
     v = language_id.vocabulary(language_id.MODEL)
