@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix, _PLACE, slices
+from .common import char_hashes, map_arrow, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: longest piece of letters that a vocabulary may have; one with longer pieces is refused, none are left out
@@ -123,10 +123,7 @@ class Words:
             self.of, self.flat, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         n = e - s
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        chars = c[np.repeat(s, n) + place]
-        h = np.add.reduceat(mix((chars + np.uint32(1)).astype(np.uint64) * _PLACE[place & 4095] + (place >> 12).astype(np.uint64)), np.cumsum(n) - n)
-        of, _ = pd.factorize(h)
+        of, _ = pd.factorize(char_hashes(c, s, n))
         rep = np.empty(int(of.max()) + 1, np.int64)
         rep[of[::-1]] = np.arange(len(of) - 1, -1, -1)
         by = np.argsort(-n[rep], kind="stable")

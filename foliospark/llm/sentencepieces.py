@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix, _PLACE, slices
+from .common import char_hashes, map_arrow, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x110000
@@ -169,9 +169,8 @@ class Pieces:
         head[begin[full]] = True
         start = np.flatnonzero(head)
         size = np.diff(np.append(start, len(c)))
-        place = np.arange(len(c)) - np.repeat(start, size)
-        h = np.add.reduceat(mix((c + 1).astype(np.uint64) * _PLACE[place & 4095] + (place >> 12).astype(np.uint64)), start)
-        of, _ = pd.factorize(h)
+        del chars, head
+        of, _ = pd.factorize(char_hashes(c, start, size))
         rep = np.empty(int(of.max()) + 1, np.int64)
         rep[of[::-1]] = np.arange(len(of) - 1, -1, -1)
         group = np.cumsum(size[rep] + 1) // INDEX_CHARS
@@ -198,29 +197,35 @@ class Pieces:
         letters = np.where(inside, self.letter[text], 0)
         index = SuffixIndex(letters, offset, n)
         some, low, high = index.search(self.rows, self.size)
-        order, used, length = index.order, self.usable[some], self.size[some]
+        # places of an index and pieces fit 32 bits, unless one unit alone is longer than that
+        small = np.int32 if total < 1 << 31 else np.int64
+        order, used, length = index.order.astype(small), self.usable[some].astype(np.int32), self.size[some].astype(small)
+        del index
         found = high - low
         cum = np.cumsum(found) - found
         edges = int(found.sum())
-        piece = np.repeat(np.arange(len(found)), found)
         pos = order[np.repeat(low - cum, found) + np.arange(edges)]
-        end = pos + length[piece]
-        piece = used[piece]
-        lone = np.flatnonzero(inside & ~self.single[text])
-        pos, end, piece = np.concatenate((pos, lone)), np.concatenate((end, lone + 1)), np.concatenate((piece, np.full(len(lone), -1)))
-        depth = offset[end]
-        by = np.sort(depth << 32 | np.arange(len(depth))) & 0xFFFFFFFF
+        del order
+        end = pos + np.repeat(length, found)
+        piece = np.repeat(used, found)
+        lone = np.flatnonzero(inside & ~self.single[text]).astype(small)
+        pos, end, piece = np.concatenate((pos, lone)), np.concatenate((end, lone + 1)), np.concatenate((piece, np.full(len(lone), -1, np.int32)))
+        by = offset[end] << 32
+        by |= np.arange(len(by))
+        by.sort()
+        cuts = np.searchsorted(by, np.arange(1, int(size.max()) + 2) << 32)
+        by &= 0xFFFFFFFF
         pos, end, piece = pos[by], end[by], piece[by]
-        cuts = np.searchsorted(depth[by], np.arange(1, int(size.max()) + 2))
+        del by
         last = np.full(total, -2, np.int32)  # the piece before each place; -1: bytes, -2: the unit's begin
         back = np.zeros(total, np.int64)
         for i in range(len(cuts) - 1):
             s = slice(cuts[i], cuts[i + 1])
             p, q, e = pos[s], piece[s], end[s]
-            a = last[p].astype(np.int64)
+            a = last[p]
             ask = (a >= 0) & (q >= 0)
             ok = ~ask
-            ok[ask] = self.follows(a[ask], q[ask])
+            ok[ask] = self.follows(a[ask].astype(np.int64), q[ask].astype(np.int64))
             last[e[ok]] = q[ok]
             back[e[ok]] = p[ok]
         mark = np.zeros(total, bool)
