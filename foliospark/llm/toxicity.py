@@ -9,26 +9,32 @@ its share after v, m the smaller of the classes' events N_t and N_o:
     P_c(w)     = e_c(w) + b_c shared(w)                        e_c(w) = max(q_c(w) - D_c(w), 0)
     P_c(w | v) = e_c(vw) + b_c(v) P_c(w)                       e_c(vw) = max(q_c(w | v) - D_c(vw), 0)
 
-b is the mass that discounting frees, so each is a distribution.  Both classes
-are discounted at one rate: by DISCOUNT / m of a class's events (PAIR_DISCOUNT
-documents of the smaller class for pairs, in proportion more of the other), and
-at least by RATIO times what the other class (for pairs: also the class's own
-lower order) leads to expect.  What is rare or unremarkable in a class thus has
-only the shared estimate in it, and the two classes differ there by a constant.
-A text's raw score is the difference of its two log-likelihoods, over all its
-words, divided by their number.  A logistic curve, fitted on held-back labelled
-rows with a model that has not seen them, turns it into 0 to 1.  The constants
-were chosen by the likelihood of held-back rows among the learning folds.
+b is the mass that discounting frees, so each is a distribution.  There are two
+such pairs of models over the same counts, of all words and all pairs of words:
+
+whole    each class is discounted by WHOLE_DISCOUNT documents, less than 1: every
+         word and every pair that a class has seen keeps a share of its own
+marked   both classes are discounted at one rate: by DISCOUNT / m of a class's
+         events (PAIR_DISCOUNT documents of the smaller class for pairs, in
+         proportion more of the other), and at least by RATIO times what the other
+         class (for pairs: also the class's own lower order) leads to expect; what
+         is rare or unremarkable in a class has only the shared estimate in it
+
+A text's ratio is the difference of its two log-likelihoods, over all its words,
+divided by their number.  A logistic curve over the ratios of both, fitted on
+held-back labelled rows with models that have not seen them, turns them into 0
+to 1: so it is measured, not set, what the words and pairs that RATIO leaves out
+are worth.  The constants were chosen by the likelihood of held-back rows among
+the learning folds.
 
 Every labelled row counts; the counts grow with the corpus and stay in Spark.
-A pair has an excess only if both its words are as frequent, so pairs of other
-words are not shuffled; nothing is lost.  Up to FREQUENT_WORDS such words are
-numbered, beyond it two sieves of fixed size tell them, with the same counts.
-What goes to the tasks is a table of corrections to the constant: of words, of
-contexts and of pairs that have an excess e in a class.  Up to TABLE_ROWS it is
-broadcast; beyond, keys of the texts that pass a sieve of fixed size meet it in
-a shuffle (large partitions can be split), with the same sums.  Only the curve
-(two numbers) is fitted on a bounded sample: CURVE_ROWS labelled rows.
+Up to NUMBERED_WORDS words are numbered, so that pairs are short keys to shuffle;
+beyond it pairs go by hashes, with the same counts.  What goes to the tasks is a
+table of corrections to the constant: of words, of contexts and of pairs.  Up to
+TABLE_ROWS it is broadcast; beyond, so many of the keys that most documents have
+are, and keys of the texts that pass a sieve of the others meet them in a shuffle
+(large partitions can be split), with the same sums.  Only the curve (three
+numbers) is fitted on a bounded sample: CURVE_ROWS labelled rows.
 
 Words are runs of letters and of characters beyond ASCII, lower-cased, told by
 64-bit hashes.  Null or empty texts have no words and a raw score of 0; without
@@ -53,16 +59,20 @@ from pyspark.sql import functions as F
 from .common import in_sieve, map_arrow, materialise, numbered, sieve, slices, utf8, word_hashes, words
 
 DISCOUNT, PAIR_DISCOUNT, RATIO, SHARED_DISCOUNT = 2.0, 16.0, 12.0, 0.75
+#: below 1, so that whatever was seen once keeps a share
+WHOLE_DISCOUNT = 0.75
 #: corrections (16 bytes each) up to which their table is broadcast
 TABLE_ROWS = 1_000_000
 CURVE_ROWS = 50_000
 #: labels (12 bytes each) up to which they are broadcast to the documents; beyond it both are shuffled by id
 BROADCAST_LABELS = 1_000_000
-SIEVE_BITS, WORD_BITS = 27, 24
-#: words frequent enough for pairs, up to which they are numbered
-FREQUENT_WORDS = 2_000_000
-#: slope and offset where held-back rows are of one kind only
+SIEVE_BITS = 27
+#: words up to which they are numbered
+NUMBERED_WORDS = 2_000_000
+#: slope and offset of the marked model alone, where held-back rows are of one kind only
 CURVE = (100.0, -2.0)
+#: of the marked and the whole model, chosen by the likelihood of held-back rows among the learning folds
+RIDGE = (1e-2, 1.0)
 
 #: the context of a text's first word, and what sets keys of contexts and of pairs apart from those of words
 _START, _CONTEXT, _PAIR = 0x5EED5EED5EED5EED, 0x1B873593CC9E2D51, 0x27D4EB2F165667C5
@@ -71,6 +81,19 @@ _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
 
 
+@dataclass(frozen=True)
+class Discounts:
+    words: float
+    pairs: float
+    #: times what the other class leads to expect
+    ratio: float
+    #: the same share of both classes' events, or the same number of documents
+    alike: bool
+
+
+MARKED, WHOLE = Discounts(DISCOUNT, PAIR_DISCOUNT, RATIO, True), Discounts(WHOLE_DISCOUNT, WHOLE_DISCOUNT, 0.0, False)
+
+
 @dataclass(frozen=True)
 class Model:
     #: (key long, gain double): what words, contexts and pairs add to `constant` for each of their places
@@ -152,9 +175,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Counts:
     #: (word, t0, o0, t1, o1, c0, c1)
     words: DataFrame
-    #: (before, word, t0, o0, t1, o1) of the pairs that may have an excess
+    #: (before, word, t0, o0, t1, o1)
     pairs: DataFrame
-    #: (before, t0, o0, t1, o1): events after the contexts of those pairs
+    #: (before, t0, o0, t1, o1): events after each context
     contexts: DataFrame
 
 
@@ -162,124 +185,100 @@ class Counts:
 PARTS = (("t0", "o0", "c0"), ("t0 + t1", "o0 + o1", "c0 + c1"))
 
 
-def _coded_pairs(rows: DataFrame, frequent: DataFrame) -> Callable[[Column], DataFrame]:
-    """Pairs of words that are frequent in one class, told by the words' numbers: short keys to shuffle."""
-    got = frequent.toArrow()
-    order = np.argsort(got["word"].to_numpy())
-    # the start of a text comes last and is frequent in both classes
-    known = rows.sparkSession.sparkContext.broadcast((got["word"].to_numpy()[order], np.append(got["classes"].to_numpy()[order], 3).astype(np.int8)))
+def _coded_pairs(rows: DataFrame, words_: DataFrame) -> DataFrame:
+    """All pairs, told by their words' numbers: short keys to shuffle."""
+    known = rows.sparkSession.sparkContext.broadcast(np.sort(words_.select("word").toArrow()["word"].to_numpy()))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, classes = known.value
-        # a word that is not among them gets a number past the end, without a class
-        classes = np.append(classes, 0).astype(np.int8)
-
-        def number(w: np.ndarray) -> np.ndarray:
-            at = np.searchsorted(names, w)
-            return np.where(w == _START, len(names), np.where(np.append(names, 0)[at] == w, at, len(names) + 1)) if len(names) else np.where(w == _START, 0, 1)
-
+        names = known.value
         for part in slices(batches, "text", 4 << 20):
             e = Events(part)
-            v, w = number(e.before), number(e.w)
+            # the start of a text comes last
+            v, w = np.where(e.before == _START, len(names), np.searchsorted(names, e.before)), np.searchsorted(names, e.w)
             key = v << 32 | w
-            at, code, kind = e.once(key, np.flatnonzero(classes[v] & classes[w]))
+            at, code, kind = e.once(key, np.arange(len(key)))
             yield pa.RecordBatch.from_arrays([pa.array(key[at]), *e.counts(len(at), code, kind)], ["key", *_KINDS])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.append(known.value[0], _START)
+        names = np.append(known.value, _START)
         for part in batches:
             key = part.column("key").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(names[key >> 32]), pa.array(names[key & 0xFFFFFFFF]), *(part.column(k) for k in _KINDS)], ["before", "word", *_KINDS])
 
     counted = map_arrow(rows, pairs, f"key long, {_LONGS}").groupBy("key").agg(*[F.sum(k).alias(k) for k in _KINDS])
-    return lambda enough: map_arrow(counted.where(enough), named, f"before long, word long, {_LONGS}")
+    return map_arrow(counted, named, f"before long, word long, {_LONGS}")
 
 
-def _hashed_pairs(rows: DataFrame, frequent: DataFrame) -> Callable[[Column], DataFrame]:
-    """The same for any number of words: two sieves of fixed size tell which are frequent, and pairs go by their words' hashes."""
-    bits = rows.sparkSession.sparkContext.broadcast([sieve(frequent.where(F.col("classes").isin(c, 3)), "word", WORD_BITS) for c in (1, 2)])
+def _hashed_pairs(rows: DataFrame) -> DataFrame:
+    """The same for any number of words: pairs go by their words' hashes."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
             e = Events(part)
-            on = np.zeros(len(e.w), bool)
-            for b in bits.value:
-                on |= in_sieve(b, e.w, WORD_BITS) & ((e.before == _START) | in_sieve(b, e.before, WORD_BITS))
-            at, code, kind = e.once(_pair_key(e.before, e.w), np.flatnonzero(on))
+            at, code, kind = e.once(_pair_key(e.before, e.w), np.arange(len(e.w)))
             yield pa.RecordBatch.from_arrays([pa.array(e.before[at]), pa.array(e.w[at]), *e.counts(len(at), code, kind)], ["before", "word", *_KINDS])
 
-    counted = map_arrow(rows, pairs, f"before long, word long, {_LONGS}").groupBy("before", "word").agg(*[F.sum(k).alias(k) for k in _KINDS])
-    return counted.where
+    return map_arrow(rows, pairs, f"before long, word long, {_LONGS}").groupBy("before", "word").agg(*[F.sum(k).alias(k) for k in _KINDS])
 
 
-def count(rows: DataFrame, most_words: int = FREQUENT_WORDS) -> Counts:
-    """What rows (toxic, part, text) hold. Up to most_words frequent words have numbers that are broadcast (9 bytes each)."""
-    spark = rows.sparkSession
+def count(rows: DataFrame, most_words: int = NUMBERED_WORDS) -> Counts:
+    """What rows (toxic, part, text) hold. Up to most_words words have numbers that are broadcast (8 bytes each)."""
     rows = rows.select("toxic", "part", "text")
     found = map_arrow(rows, _count_words, f"word long, {_LONGS}, c0 long, c1 long").groupBy("word")
     words_ = materialise(found.agg(*[F.sum(k).alias(k) for k in (*_KINDS, "c0", "c1")]), "toxic-words")
-    n = words_.agg(*[F.sum(k).alias(k) for k in _KINDS]).first()
-    size = {k: n[k] or 0 for k in _KINDS}
-    least = []
-    for c in "to":
-        # documents that a pair of the class needs, in whichever model needs fewer
-        models = [(size[f"{c}0"], min(size["t0"], size["o0"])), (size[f"{c}0"] + size[f"{c}1"], min(size["t0"] + size["t1"], size["o0"] + size["o1"]))]
-        least.append(PAIR_DISCOUNT * min((own / small for own, small in models if small), default=1.0))
-    often = [F.col(f"{c}0") + F.col(f"{c}1") > F.lit(x) for c, x in zip("to", least, strict=True)]
-    both = [c.cast("byte") for c in often]
-    frequent = words_.where(often[0] | often[1]).select("word", (both[0] + both[1] * F.lit(2).cast("byte")).cast("byte").alias("classes"))
-    some = _coded_pairs(rows, frequent) if frequent.limit(most_words + 1).count() <= most_words else _hashed_pairs(rows, frequent)
-    some = materialise(some(often[0] | often[1]), "toxic-pairs")
-    known = spark.sparkContext.broadcast(sieve(some.select("before").distinct(), "before", WORD_BITS))
-
-    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
-            e = Events(part)
-            place, pair, kind = e.once(_pair_key(e.before, e.w), np.flatnonzero(in_sieve(known.value, e.before, WORD_BITS)))
-            code, names = pd.factorize(e.before[place])
-            yield pa.RecordBatch.from_arrays([pa.array(names), *e.counts(len(names), code[pair], kind)], ["before", *_KINDS])
+    pairs = _coded_pairs(rows, words_) if words_.limit(most_words + 1).count() <= most_words else _hashed_pairs(rows)
+    pairs = materialise(pairs, "toxic-pairs")
+    contexts = pairs.groupBy("before").agg(*[F.sum(k).alias(k) for k in _KINDS])
+    return Counts(words_, pairs, materialise(contexts, "toxic-contexts"))
 
-    contexts = map_arrow(rows, after, f"before long, {_LONGS}").groupBy("before").agg(*[F.sum(k).alias(k) for k in _KINDS])
-    return Counts(words_, some, materialise(contexts, "toxic-contexts"))
 
-
-def _excess(own: Column, other: Column, *least: Column) -> Column:
+def _excess(own: Column, *least: Column) -> Column:
     """What a share has beyond its discount."""
-    return F.greatest(own - F.greatest(F.lit(RATIO) * other, *least), F.lit(0.0))
+    return F.greatest(own - F.greatest(*least), F.lit(0.0))
 
 
-def gains(counts: Counts, toxic: str, ordinary: str, continued: str) -> tuple[DataFrame, float] | None:
-    """((key, gain), the constant) of the two models over counts; None where a class has no words."""
+def gains(counts: Counts, toxic: str, ordinary: str, continued: str, by: Discounts = MARKED) -> tuple[DataFrame, float] | None:
+    """((key, gain, docs), the constant) of the two models over counts; None where a class has no words. docs: documents that have the key."""
     alone = counts.words.select("word", F.expr(toxic).alias("t"), F.expr(ordinary).alias("o"), F.expr(continued).alias("n")).where("t + o > 0")
     n = alone.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
     if not n["t"] or not n["o"]:
         return None
     small = min(n["t"], n["o"])
     t, o = F.col("t") / F.lit(float(n["t"])), F.col("o") / F.lit(float(n["o"]))
-    rate = F.lit(DISCOUNT / small)
-    lone = alone.select("word", "n", _excess(t, o, rate).alias("et"), _excess(o, t, rate).alias("eo"))
+    # documents of a class that make the rate's unit: of the smaller class one, or of each class one
+    unit = {c: n[c] / small if by.alike else 1.0 for c in "to"}
+    ratio, rate = F.lit(by.ratio), [F.lit(by.words * unit[c] / n[c]) for c in "to"]
+    lone = alone.select("word", "n", (F.col("t") + F.col("o")).alias("docs"), _excess(t, ratio * o, rate[0]).alias("et"), _excess(o, ratio * t, rate[1]).alias("eo"))
     s = lone.agg(F.sum("et").alias("t"), F.sum("eo").alias("o"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     bt, bo = 1 - s["t"], 1 - s["o"]
     constant = float(np.log(bt / bo))
     shared = (F.col("n") - F.lit(SHARED_DISCOUNT) + F.lit(SHARED_DISCOUNT * s["v"] / (s["v"] + 1))) / F.lit(float(s["n"]))
-    lone = lone.select("word", (F.col("et") + F.lit(bt) * shared).alias("pt"), (F.col("eo") + F.lit(bo) * shared).alias("po"), (F.col("et") + F.col("eo") > 0).alias("own"))
+    lone = lone.select("word", "docs", (F.col("et") + F.lit(bt) * shared).alias("pt"), (F.col("eo") + F.lit(bo) * shared).alias("po"), (F.col("et") + F.col("eo") > 0).alias("own"))
 
-    least = [F.lit(PAIR_DISCOUNT * n[c] / small) for c in "to"]
+    least = [F.lit(by.pairs * unit[c]) for c in "to"]
     some = counts.pairs.select("before", "word", F.expr(toxic).alias("t"), F.expr(ordinary).alias("o")).where((F.col("t") > least[0]) | (F.col("o") > least[1]))
     contexts = counts.contexts.select("before", F.expr(toxic).alias("ct"), F.expr(ordinary).alias("co"))
-    some = some.join(contexts, "before").join(lone, "word")
+    if not by.ratio:
+        # a class's excess rests on its own counts alone, so one sum by context tells what is freed
+        kept = some.groupBy("before").agg(*[F.sum(F.greatest(F.col(c) - x, F.lit(0.0))).alias(f"k{c}") for c, x in zip("to", least, strict=True)])
+        free = [F.when(F.col(f"c{c}") > 0, 1 - F.col(f"k{c}") / F.col(f"c{c}")).otherwise(1.0).alias(f"b{c}") for c in "to"]
+        contexts = contexts.join(kept, "before").select("before", "ct", "co", *free)
+    some = some.join(contexts, "before").join(lone.drop("docs", "own"), "word")
     qt, qo = (F.when(F.col(c) > 0, F.col(n_) / F.col(c)).otherwise(0.0) for n_, c in (("t", "ct"), ("o", "co")))
     rates = [F.when(F.col(c) > 0, x / F.col(c)).otherwise(1.0) for x, c in zip(least, ("ct", "co"), strict=True)]
-    some = some.select(
-        "before", "word", "pt", "po", _excess(qt, qo, rates[0], F.lit(RATIO) * F.col("pt")).alias("et"), _excess(qo, qt, rates[1], F.lit(RATIO) * F.col("po")).alias("eo")
-    ).where("et + eo > 0")
-    some = materialise(some, "toxic-pairs")
-    freed = some.groupBy("before").agg((1 - F.sum("et")).alias("bt"), (1 - F.sum("eo")).alias("bo"))
+    et, eo = _excess(qt, ratio * qo, rates[0], ratio * F.col("pt")), _excess(qo, ratio * qt, rates[1], ratio * F.col("po"))
+    some = some.select("before", "word", "pt", "po", (F.col("t") + F.col("o")).alias("docs"), (F.col("ct") + F.col("co")).alias("after"), et.alias("et"), eo.alias("eo"), *([] if by.ratio else ["bt", "bo"])).where("et + eo > 0")
+    if by.ratio:
+        some = materialise(some, "toxic-pairs")
+        freed = some.groupBy("before").agg(F.max("after").alias("after"), (1 - F.sum("et")).alias("bt"), (1 - F.sum("eo")).alias("bo"))
+        some = some.join(freed.drop("after"), "before")
+    else:
+        freed = contexts.select("before", (F.col("ct") + F.col("co")).alias("after"), "bt", "bo")
     context = F.log(F.col("bt") / F.col("bo"))
     both = F.log((F.col("et") + F.col("bt") * F.col("pt")) / (F.col("eo") + F.col("bo") * F.col("po")))
-    out = lone.where("own").select(F.col("word").alias("key"), (F.log(F.col("pt") / F.col("po")) - F.lit(constant)).alias("gain"))
-    out = out.unionByName(freed.select(F.col("before").bitwiseXOR(F.lit(_CONTEXT)).alias("key"), context.alias("gain")))
-    out = out.unionByName(some.join(freed, "before").select(_pair_column().alias("key"), (both - context - F.log(F.col("pt") / F.col("po"))).alias("gain")))
+    out = lone.where("own").select(F.col("word").alias("key"), (F.log(F.col("pt") / F.col("po")) - F.lit(constant)).alias("gain"), "docs")
+    out = out.unionByName(freed.select(F.col("before").bitwiseXOR(F.lit(_CONTEXT)).alias("key"), context.alias("gain"), F.col("after").alias("docs")))
+    out = out.unionByName(some.select(_pair_column().alias("key"), (both - context - F.log(F.col("pt") / F.col("po"))).alias("gain"), "docs"))
     return materialise(out, "toxic-gains"), constant
 
 
@@ -289,36 +288,61 @@ def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([w, before ^ _CONTEXT, _pair_key(before, w)]), np.tile(of, 3), np.bincount(of, minlength=len(texts))
 
 
+def _adder(table: DataFrame) -> Callable[[np.ndarray, np.ndarray, int], np.ndarray]:
+    """A function that sums the gains of a table (broadcast) by text."""
+    got = table.toArrow()
+    order = np.argsort(got["key"].to_numpy())
+    known = table.sparkSession.sparkContext.broadcast((got["key"].to_numpy()[order], got["gain"].to_numpy()[order]))
+
+    def add(k: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+        keys, gain = known.value
+        if not len(keys):
+            return np.zeros(rows)
+        few = np.zeros(1 << 22, bool)
+        few[(keys.view(np.uint64) >> np.uint64(42)).astype(np.int64)] = True
+        maybe = np.flatnonzero(few[(k.view(np.uint64) >> np.uint64(42)).astype(np.int64)])
+        at = np.searchsorted(keys, k[maybe])
+        at[at == len(keys)] = 0
+        hit = keys[at] == k[maybe]
+        return np.bincount(of[maybe[hit]], weights=gain[at[hit]], minlength=rows)
+
+    return add
+
+
 def ratios(docs: DataFrame, table: DataFrame, constant: float, keep: tuple[str, ...] = (), most: int = TABLE_ROWS) -> DataFrame:
     """docs (id, text, ...) -> (id, *keep, ratio): difference of the log-likelihoods per word (0 without words)."""
     cols = ["id", *keep]
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in cols)
     if table.limit(most + 1).count() > most:
-        return _joined(docs, table, constant, cols, schema)
-    got = table.toArrow()
-    key = got["key"].to_numpy()
-    order = np.argsort(key)
-    known = docs.sparkSession.sparkContext.broadcast((key[order], got["gain"].to_numpy()[order]))
+        return _joined(docs, table, constant, cols, schema, most)
+    add = _adder(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, gain = known.value
-        few = np.zeros(1 << 22, bool)
-        few[(keys.view(np.uint64) >> np.uint64(42)).astype(np.int64)] = True
         for part in slices(batches, "text"):
             k, of, n = _keys(part.column("text"))
-            maybe = np.flatnonzero(few[(k.view(np.uint64) >> np.uint64(42)).astype(np.int64)])
-            at = np.searchsorted(keys, k[maybe])
-            at[at == len(keys)] = 0
-            hit = keys[at] == k[maybe] if len(keys) else np.zeros(0, bool)
-            total = np.bincount(of[maybe[hit]], weights=gain[at[hit]], minlength=part.num_rows)
+            total = add(k, of, part.num_rows)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in cols), pa.array(np.where(n > 0, constant + total / np.maximum(n, 1), 0.0))], [*cols, "ratio"])
 
     return map_arrow(docs.select(*cols, "text"), run, f"{schema}, ratio double")
 
 
-def _joined(docs: DataFrame, table: DataFrame, constant: float, cols: list[str], schema: str) -> DataFrame:
-    """ratios() for a table of any size: keys that pass its sieve meet it in a shuffle."""
+def _split(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The keys of the most documents, `most` at most, and the others."""
+    if "docs" not in table.columns:
+        return table.where("false"), table
+    sizes = table.groupBy(F.floor(F.log2("docs") * 4).alias("size")).count().toPandas().sort_values("size", ascending=False)
+    fit = sizes[sizes["count"].cumsum() <= most]
+    if not len(fit):
+        return table.where("false"), table
+    often = F.floor(F.log2("docs") * 4) >= int(fit["size"].min())
+    return table.where(often), table.where(~often)
+
+
+def _joined(docs: DataFrame, table: DataFrame, constant: float, cols: list[str], schema: str, most: int) -> DataFrame:
+    """ratios() for a table of any size: its commonest keys are broadcast, keys that pass a sieve of the others meet them in a shuffle."""
     rows = numbered(docs.select(*cols, "text"), "toxic-rows")
+    common, table = _split(table, most)
+    add = _adder(common)
     bits = docs.sparkSession.sparkContext.broadcast(sieve(table, "key", SIEVE_BITS))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,54 +351,65 @@ def _joined(docs: DataFrame, table: DataFrame, constant: float, cols: list[str],
             some = np.flatnonzero(in_sieve(bits.value, k, SIEVE_BITS))
             code, each = pd.factorize(k[some])
             cell, times = np.unique(code * part.num_rows + of[some], return_counts=True)
-            yield pa.RecordBatch.from_arrays([part.column("_row").take(pa.array(cell % part.num_rows)), pa.array(each[cell // part.num_rows]), pa.array(times.astype(np.int64))], ["_row", "key", "times"])
+            yield pa.RecordBatch.from_arrays([part.column("_row").take(pa.array(cell % part.num_rows)), pa.array(each[cell // part.num_rows]), pa.array(times.astype(np.int32))], ["_row", "key", "times"])
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            _, _, of = _words(part.column("text"))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*cols, "_row"]), pa.array(np.bincount(of, minlength=part.num_rows))], [*cols, "_row", "n"])
+            k, of, n = _keys(part.column("text"))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*cols, "_row"]), pa.array(n), pa.array(add(k, of, part.num_rows))], [*cols, "_row", "n", "common"])
 
-    total = map_arrow(rows.select("_row", "text"), found, "_row long, key long, times long").join(table, "key").groupBy("_row").agg(F.sum(F.col("times") * F.col("gain")).alias("total"))
-    sized = map_arrow(rows, size, f"{schema}, _row long, n long").join(total, "_row", "left")
-    return sized.select(*cols, F.when(F.col("n") > 0, F.lit(constant) + F.coalesce("total", F.lit(0.0)) / F.col("n")).otherwise(0.0).alias("ratio"))
+    total = map_arrow(rows.select("_row", "text"), found, "_row long, key long, times int").join(table, "key").groupBy("_row").agg(F.sum(F.col("times") * F.col("gain")).alias("total"))
+    sized = map_arrow(rows, size, f"{schema}, _row long, n long, common double").join(total, "_row", "left")
+    return sized.select(*cols, F.when(F.col("n") > 0, F.lit(constant) + (F.col("common") + F.coalesce("total", F.lit(0.0))) / F.col("n")).otherwise(0.0).alias("ratio"))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of y on x, with a little ridge, by Newton's method."""
-    mean, spread = float(x.mean()), float(x.std()) or 1.0
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression of y on the columns of x, with a little ridge, by Newton's method."""
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread = np.where(spread > 0, spread, 1.0)
     a = np.column_stack([(x - mean) / spread, np.ones(len(x))])
-    w = np.zeros(2)
+    w, ridge = np.zeros(a.shape[1]), np.diag([*RIDGE, 1e-2])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + 1e-2 * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]) / spread, float(w[1] - w[0] * mean / spread)
+    return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum())
+
+
+def _mixed(marked: tuple[DataFrame, float], whole: tuple[DataFrame, float], weights: np.ndarray) -> tuple[DataFrame, float]:
+    """One table with the weighted sums of both; every key of the first is one of the second."""
+    a, b = float(weights[0]), float(weights[1])
+    few = marked[0].select("key", F.col("gain").alias("_marked"))
+    if few.limit(TABLE_ROWS + 1).count() <= TABLE_ROWS:
+        few = F.broadcast(few)
+    gain = F.lit(b) * F.col("gain") + F.lit(a) * F.coalesce("_marked", F.lit(0.0))
+    return whole[0].join(few, "key", "left").select("key", gain.alias("gain"), "docs"), a * marked[1] + b * whole[1]
 
 
 def train(rows: DataFrame) -> Model:
     """rows: (id, text, toxic). A quarter by hash of the id is held back for the curve, then counted as well."""
     rows = rows.withColumn("part", F.when(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(4)) == 0, 1).otherwise(0))
     counts = count(rows)
-    whole = gains(counts, *PARTS[1])
-    if whole is None:
+    marked = gains(counts, *PARTS[1])
+    if marked is None:
         return Model(None, 0.0, 0.0, 0.0)
     first = gains(counts, *PARTS[0])
-    slope, offset = CURVE
+    weights, offset = np.array([CURVE[0], 0.0]), CURVE[1]
     if first is not None:
         back = rows.where("part = 1").withColumn("_h", F.xxhash64(F.lit("curve"), F.col("id").cast("string")))
         total = back.count()
         if total > CURVE_ROWS:
-            # a bounded sample by hash, for two numbers
+            # a bounded sample by hash, for three numbers
             back = back.where(F.pmod("_h", F.lit(1 << 30)) < int((1 << 30) * CURVE_ROWS / total))
-        held = ratios(back, *first, keep=("toxic",)).select("ratio", "toxic").toPandas()
+        held = ratios(back.select("id", "text", F.col("text").alias("_text"), "toxic"), *first, keep=("_text", "toxic"))
+        held = held.select("id", F.col("_text").alias("text"), "toxic", F.col("ratio").alias("marked"))
+        held = ratios(held, *gains(counts, *PARTS[0], WHOLE), keep=("toxic", "marked")).select("marked", "ratio", "toxic").toPandas()
         y = (held["toxic"].to_numpy() > 0).astype(float)
         if len(y) and y.min() < y.max():
-            slope, offset = _curve(held["ratio"].to_numpy(), y)
-    return Model(*whole, slope, offset)
+            weights, offset = _curve(held[["marked", "ratio"]].to_numpy(), y)
+    return Model(*_mixed(marked, gains(counts, *PARTS[1], WHOLE), weights), 1.0, offset)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,4 +421,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return found.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-logit))).alias("score"))
 
 
-__all__ = ["Counts", "Model", "count", "gains", "labelled", "ratios", "score", "train"]
+__all__ = ["Counts", "Discounts", "Model", "count", "gains", "labelled", "ratios", "score", "train"]

@@ -210,6 +210,47 @@ def test_toxicity_against_brute_force(spark):
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_toxicity_counts_every_word_and_pair(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(60):
+        w = [rnd.choice("abcdefgh") + rnd.choice("klm") for _ in range(rnd.randint(0, 12))]
+        rows.append((i, " ".join([*w, f"once{chr(97 + i % 26)}{chr(97 + i // 26)}"] if i % 4 else w), int(i % 3 == 0)))
+    frame_ = frame(spark, rows, "id long, text string, toxic int").withColumn("part", F.lit(0))
+    one, two, before = [Counter(), Counter()], [Counter(), Counter()], Counter()
+    for _, text, c in rows:
+        w = text.split()
+        one[c].update(set(w))
+        two[c].update(set(zip(["^", *w], w)))
+    for c in (0, 1):
+        for (_, w), k in two[c].items():
+            before[w] += k
+    d, words = toxicity.WHOLE_DISCOUNT, set(one[0]) | set(one[1])
+    s = toxicity.SHARED_DISCOUNT
+    shared = {w: (before[w] - s + s * len(words) / (len(words) + 1)) / sum(before.values()) for w in words}
+
+    def prob(c, v, w):
+        n, after = sum(one[c].values()), {x: k for (u, x), k in two[c].items() if u == v}
+        lower = max(one[c][w] - d, 0) / n + d * len(one[c]) / n * shared[w]
+        total = sum(after.values())
+        return max(after.get(w, 0) - d, 0) / total + d * len(after) / total * lower if total else lower
+
+    for v in ("^", "ak", "unseen"):
+        assert all(0.98 < sum(prob(c, v, w) for w in words) <= 1 + 1e-9 for c in (0, 1))
+    table, constant = toxicity.gains(toxicity.count(frame_), *toxicity.PARTS[0], toxicity.WHOLE)
+    pairs = set(two[0]) | set(two[1])
+    # a row for every word, every context and every pair, seen once or often, in either class
+    assert table.count() == len(words) + len({v for v, _ in pairs}) + len(pairs)
+    want = {i: sum(np.log(prob(1, v, x) / prob(0, v, x)) for v, x in zip(["^", *text.split()], text.split())) / max(len(text.split()), 1) for i, text, _ in rows}
+    # all keys broadcast, the commonest broadcast, none
+    for most in (1 << 20, 60, 0):
+        got = {r.id: r.ratio for r in toxicity.ratios(frame_, table, constant, most=most).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    # and the operator's own table has them all
+    labelled = frame(spark, rows, "id long, text string, toxic int")
+    assert toxicity.train(labelled).gains.where("gain <> 0").count() > 0.9 * table.count()
+
+
 def test_ratios_of_repeated_and_null_ids(spark):
     words = ["scoundrel", "wretch", "vermin", "cur"]
     keys = pa.array(toxicity._words(pa.array(words))[0]).to_pylist()
