@@ -73,7 +73,8 @@ def pair_blocks(blocks: DataFrame, revised: DataFrame, id_col: str = "doc_id") -
     new = revised.select(id_col, F.col("text").alias("_r"), chunks.alias("_chunks")).select(id_col, "_chunks", body.alias("_body"), plain_paragraphs(F.col("_r")).alias("_plain"))
     w = Window.partitionBy(id_col)
     own = blocks.select(id_col, "block_id", F.col("text").alias("original"), F.row_number().over(w.orderBy("block_id")).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    df = own.join(new, id_col, "left")
+    # cut texts are never broadcast: before they are made Spark takes a text for 20 bytes, so that gigabytes would go to the driver
+    df = own.join(new.hint("merge"), id_col, "left")
     how = F.when(F.size("_body") == F.col("_n"), "chunks").when(F.size("_plain") == F.col("_n"), "paragraphs").when(F.col("block_id") <= F.size("_chunks"), "number").otherwise("kept")
     picked = F.when(F.col("how") == "chunks", F.try_element_at("_body", F.col("_i"))).when(F.col("how") == "paragraphs", F.try_element_at("_plain", F.col("_i"))).when(F.col("how") == "number", F.try_element_at("_chunks", F.col("block_id").cast("int")))
     return df.withColumn("how", how).select(id_col, "block_id", "original", F.coalesce(picked, F.col("original")).alias("revised"), "how")

@@ -86,6 +86,15 @@ def test_block_pairs(spark):
     }
 
 
+def test_block_pairs_are_not_broadcast(spark):
+    """Texts that are made on the way look small to Spark: few bytes of keys, and each key's text is long."""
+    ids = spark.range(1000).withColumnRenamed("id", "doc_id")
+    out = align.pair_blocks(ids.select("doc_id", F.lit(2).alias("block_id"), F.lit("甲。").alias("text")), ids.select("doc_id", F.repeat(F.lit("新甲。"), 400).alias("text")))
+    assert out.where((F.col("how") == "chunks") & (F.length("revised") == 1200)).count() == 1000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_chapters(spark):
     df = spark.createDataFrame([(1, 1, "前言"), (1, 2, "# 研究背景"), (1, 3, "近年来"), (1, 4, "第二章 损失函数"), (1, 5, "正文")], "doc_id long, block_id int, text string")
     got = chapters.fill(df).orderBy("block_id").collect()
