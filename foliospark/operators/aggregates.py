@@ -1,8 +1,9 @@
 """Document aggregates of paragraph signals: means, the paragraphs beyond a threshold, and whether a document holds up.
 
 A family is data: which signals are averaged, which paragraphs are named, and
-what must hold of means and counts.  Everything is one grouped aggregation that
-combines before its shuffle (lists of paragraph numbers are a document's own).
+what must hold of means and counts.  A document's signals are summed in the order
+of its paragraphs' numbers, so that no split of the rows decides how a mean that
+is a tie gets rounded; one shuffle by document serves sums and lists.
 Only changed body paragraphs with sentences count; a document without any gets
 the neutral record.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEPTHS = ("developmental_rewrite", "light_edit")
@@ -170,7 +171,9 @@ def aggregate(paragraphs: DataFrame, family: Family, *keys: str, number: str = "
     keys = keys or ("doc_id",)
     on = checked()
     enumerated = {"enumeration": F.col("has_enumeration")} if "enumerated_ids" in family.lists else {}
-    means = [F.avg(F.when(on & enumerated[m], F.col(m)) if m in enumerated else F.when(on, F.col(m))).alias(m) for m in family.means]
+    ordered = Window.partitionBy(*keys).orderBy(number).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    paragraphs = paragraphs.withColumns({f"_mean_{m}": F.avg(F.when(on & enumerated[m], F.col(m)) if m in enumerated else F.when(on, F.col(m))).over(ordered) for m in family.means})
+    means = [F.first(f"_mean_{m}").alias(m) for m in family.means]
     lists = [F.array_sort(F.collect_list(F.when(on & F.coalesce(test(), F.lit(False)), F.col(number)))).alias(name) for name, test in family.lists.items()]
     got = paragraphs.groupBy(*keys).agg(F.count_if(on).alias("paragraphs_checked"), *means, *lists)
     # rounded before they are compared, by way of the product, as SQL engines do: at a tie (0.53875) the shortest decimal form, which F.round(x, 4) takes, says otherwise
